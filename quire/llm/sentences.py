@@ -1,2 +1,297 @@
-def split(df, key, text):
-    raise NotImplementedError
+"""p10: sentences of documents in any script, by a linear-chain tagger over characters and Viterbi decoding.
+
+Every character is tagged *boundary* (a sentence ends with it) or *inside*. Only some characters can be boundaries (the last of a run
+of final marks with its closing quotes, brackets and footnote marks; in scripts without final marks the last
+before a space); all others are clamped to inside, so a chain runs over the candidates. Its weights are trained here, with an
+averaged structured perceptron, on a bounded sample of the corpus itself. The sample is labelled by cautious rules over fixed
+lists (there are no labelled sentences to learn from), so the tagger generalises those rules; for scripts without
+punctuation it is trained on text stripped of any, so that it rests on spacing and neighbours alone.
+A blank line always ends a sentence, and a line break alone never does: these are no matter of weights.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quire.llm.lookalike import same_form
+
+#: Most documents in the training sample (those with the smallest hashes), and passes over them.
+SAMPLE, PASSES = 3000, 4
+
+# Final marks, closing and opening marks, footnote marks, blanks (Unicode White_Space).
+FINAL = ".!?…‥。．！？｡؟۔।॥።፧፨׃;;។៕။།༎"
+CLOSING = "\"'”’»›“‘)]}）］｝」』】〉》〕"
+OPENING = "\"'“‘„‚«‹([{（［｛「『【〈《〔¿¡"
+NOTE = "¹²³⁴⁵⁶⁷⁸⁹⁰*†‡§"
+WHITE = "\t\n\v\f\r \x85\xa0                　"
+# The opening marks each closing quote can belong to.
+PAIRS = {"”": "“„”", "“": "„", "»": "«", "›": "‹", "」": "「", "』": "『", "’": "‘‚", "‘": "‚", "'": "'", '"': '"', "》": "《", "〉": "〈"}
+# Abbreviations that something must follow (lower case except where case tells them apart).
+LEADING = set(
+    "dr mr mrs ms prof st mt lt col gen capt sgt rev hon no nr vol vols v vv vs pp fig figs cf ca ch chap i.e e.g a.k.a viz ed eds approx "
+    "abb kap vgl bzw d.h z.b d z b h s sog geb sr sra srta d cap a p ej núm pág art c.-à-d ex av mme mlle "
+    "гл ст см т к г н им ул стр рис акад проф βλ κεφ στ π.χ δηλ σελ αρ κ ص د ج डॉ श्री ดร รศ ผศ".split()
+)
+LEADING_EXACT = {"M", "V", "B", "MS", "MSS"}
+# Abbreviations that may also end a sentence.
+EITHER = set("b.c a.d a.m p.m etc chr j.-c c m km cm kg μ χλμ д др э π.χ et.al jr sr inc ltd co usw u.a א".split()) - {"sr", "π.χ"}
+# Words before a number with a period that make it an ordinal.
+BEFORE_ORDINAL = set("am im vom zum beim dem den der des das ein einem einen eines ihr sein kein jeder jedem jeden".split())
+
+LEADING, EITHER, BEFORE_ORDINAL = ({same_form(x) for x in words} for words in (LEADING, EITHER, BEFORE_ORDINAL))
+
+_BLANK_LINE = re.compile(r"(?:\r\n|[\n\r\x85 ])[^\S\n\r\x85  ]*(?:\r\n|[\n\r\x85 ])| ")
+_FINALS = re.escape(FINAL)
+_CANDIDATE = re.compile(rf"[{_FINALS}]+(?:[{re.escape(CLOSING + NOTE)}]|[\xa0  ]?»)*")
+#: Scripts that end sentences with a space: Thai and Lao.
+_UNMARKED = re.compile(r"[฀-໿]")
+_SPACE = re.compile(r"(?<=\S)[^\S\n\r\x85  ]+(?=\S)")
+_BEFORE = re.compile(rf"[^{re.escape(WHITE)}]*$")
+#: A sentence that runs into the word for want of a blank.
+_JOINED = re.compile(r"^.*[^\W\d_]{3,}[.!?]+(?=[^\W\d_])")
+_STRIPPED = str.maketrans({c: None for c in FINAL + CLOSING + OPENING + NOTE + ",:-–—、，"})
+
+
+def _kind(ch: str) -> str:
+    if ch.isdigit() or ch.isnumeric():
+        return "0"
+    if ch.islower():
+        return "a"
+    if ch.isupper() or ch.istitle():
+        return "A"
+    if ch in OPENING:
+        return "("
+    if ch.isalpha() or unicodedata.category(ch)[0] in "LM":
+        return "x"
+    return ","
+
+
+class Candidate:
+    """A place where a sentence may end: ``end`` (exclusive) and what its neighbourhood looks like."""
+
+    __slots__ = ("end", "mark", "token", "shape", "before", "closer", "opened", "space", "next", "unmarked")
+
+    def __init__(self, end, mark, token="", shape="", before="", closer="", opened="", space="", next="", unmarked=False):
+        self.end, self.mark, self.token, self.shape, self.before = end, mark, token, shape, before
+        self.closer, self.opened, self.space, self.next, self.unmarked = closer, opened, space, next, unmarked
+
+    def features(self) -> tuple[str, ...]:
+        if self.unmarked:
+            return (f"u{self.shape}{self.next}", f"ul{self.shape}", f"ur{self.next}", "u")
+        a, n = self.mark, self.next
+        return (
+            f"m{a}{n}{self.space}", f"s{a}{self.shape}{n}{self.space}", f"t{self.token}{n}", f"t{self.token}", f"n{n}{self.space}",
+            f"c{self.closer}{self.opened}{n}", f"c{a}{self.closer}{n}", f"q{self.closer}{self.opened}{n}{self.space}", f"o{self.shape}{self.before}{n}", f"b{self.before}{self.token}{n}", "1",
+        )
+
+
+def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
+    """The candidates of one paragraph ``text[lo:hi]``, in order; the end of the paragraph itself is none."""
+    found = []
+    for m in _CANDIDATE.finditer(text, lo, hi):
+        run, at, end = m[0], m.start(), m.end()
+        mark = run[0]
+        if run[:3] == "..." or mark in "…‥":
+            mark = "…"
+        elif len(run) > 1 and run[1] in "?!？！":
+            mark = run[1]
+        if mark in ";;":
+            if not (at > lo and "Ͱ" <= text[at - 1] <= "Ͽ" or at > lo and "ἀ" <= text[at - 1] <= "῿" or at > lo and text[at - 1] == "́"):
+                continue
+            mark = "?"
+        closer = "".join(c for c in run if c in CLOSING)
+        # an ASCII or one-sided quote after a final mark and a blank opens what follows; it isn't in the run then
+        q = end
+        while q < hi and (text[q] in WHITE or unicodedata.category(text[q]) == "Cf"):
+            q += 1
+        if q >= hi:
+            continue  # the paragraph ends a sentence anyway
+        between = text[end:q]
+        space = "" if not between else "n" if any(c in "\n\r\x85 " for c in between) else "s"
+        tail = text[max(lo, at - 40) : at]
+        word = _BEFORE.search(tail)[0]
+        token = same_form(_JOINED.sub("", word).lstrip(OPENING))
+        rest = tail[: len(tail) - len(word)].rstrip(WHITE)
+        before = same_form(_JOINED.sub("", _BEFORE.search(rest)[0]).strip(OPENING)).lower()[:8] if rest else ""
+        digits = bool(token) and all(c.isdigit() or c in ".,:;–-" for c in token)
+        shape = "0" if digits else "" if not token else ("1" if len(token) == 1 else "." if "." in token else "w") + _kind(token[0])
+        name = "#" if digits else token if len(token) == 1 or token in LEADING_EXACT else token.lower() if len(token) <= 8 else "*"
+        opened = ""
+        if closer:
+            for c in closer:
+                if c in PAIRS:
+                    o = max((text.rfind(x, lo, at) for x in PAIRS[c]), default=-1)
+                    if o >= 0:
+                        p = o - 1
+                        while p >= lo and text[p] in WHITE:
+                            p -= 1
+                        opened = "S" if p < lo or text[p] in FINAL + CLOSING + NOTE or (p < o - 1 and _UNMARKED.match(text[p])) else "M"
+                    break
+            else:
+                opened = "b"
+            closer = "q" if opened in "SM" else "b"
+        found.append(Candidate(end, mark, name, shape, before if digits or len(token) <= 2 else "", closer, opened, space, _kind(text[q])))
+    if _UNMARKED.search(text, lo, hi):
+        taken = {c.end for c in found}
+        for m in _SPACE.finditer(text, lo, hi):
+            left, right = _near(text, m.start() - 1, -1, lo, hi), _near(text, m.end(), 1, lo, hi)
+            if m.start() not in taken and (_UNMARKED.match(left) or left.isdigit() and _UNMARKED.match(right)):
+                found.append(Candidate(m.start(), " ", shape="T" if _UNMARKED.match(left) else _kind(left or ","), next="T" if _UNMARKED.match(right) else _kind(right or ","), unmarked=True))
+        found.sort(key=lambda c: c.end)
+    return found
+
+
+def _near(text: str, at: int, step: int, lo: int, hi: int) -> str:
+    """The nearest character of the word there, punctuation stripped."""
+    while lo <= at < hi and text[at] not in WHITE:
+        if text[at].translate(_STRIPPED):
+            return text[at]
+        at += step
+    return ""
+
+
+def rule(c: Candidate) -> bool:
+    """The cautious rules that label the training sample."""
+    if c.unmarked:
+        return "0" not in (c.shape, c.next)
+    if c.next in ("a", ","):
+        return False
+    if c.closer == "q" and c.next == "x":
+        return c.opened != "S"  # a quotation that opens the sentence has its clause still to come
+    if c.mark == "…" and not c.closer:
+        return c.next in ("A", "(")
+    if c.mark != "." or c.closer:
+        return c.mark not in "…" or c.next in ("A", "(", "0") or c.closer == "b"
+    low = c.token.lower()
+    if not c.space:
+        return c.next == "A" and c.shape[:1] == "w" and low not in LEADING and low not in EITHER and c.token not in LEADING_EXACT
+    if c.shape == "0":
+        return not (c.next == "A" and c.before in BEFORE_ORDINAL)
+    if c.token in LEADING_EXACT:
+        return False
+    if low in EITHER and c.token == low or low in ("b.c", "a.d", "chr", "j.-c") or c.token == "C" and c.before == "a.":
+        return not (low == "э" and c.next == "A")
+    if low in LEADING:
+        return False
+    if c.shape == "1A":
+        return False  # an initial
+    return True
+
+
+def viterbi(rows: list[Candidate], weights: dict[str, float]) -> list[bool]:
+    """The best tags of a chain; two boundaries next to each other are possible only with something between."""
+    inside, ends = 0.0, float("-inf")
+    back: list[tuple[bool, bool]] = []
+    get = weights.get
+    last = -1
+    for c in rows:
+        score = 0.0
+        for f in c.features():
+            score += get(f, 0.0)
+        near = c.end - last <= 2
+        from_inside, from_end = inside + get(">ib", 0.0), ends + (float("-inf") if near else get(">bb", 0.0))
+        stay_inside, stay_end = inside + get(">ii", 0.0), ends + get(">bi", 0.0)
+        back.append((stay_end > stay_inside, from_end > from_inside))
+        inside, ends = max(stay_inside, stay_end), max(from_inside, from_end) + score
+        last = c.end
+    tag, out = ends > inside, []
+    for to_inside, to_end in reversed(back):
+        out.append(tag)
+        tag = to_end if tag else to_inside
+    return out[::-1]
+
+
+def train(texts: Iterable[str], passes: int = PASSES) -> dict[str, float]:
+    """Averaged structured perceptron over the paragraphs of ``texts``; weights by feature."""
+    chains, seen = [], set()
+    for text in texts:
+        for lo, hi in paragraphs(text or ""):
+            rows = candidates(text, lo, hi)
+            key = tuple(c.features() for c in rows)
+            if rows and key not in seen:
+                seen.add(key)
+                chains.append((rows, [rule(c) for c in rows]))
+    weights: dict[str, float] = defaultdict(float)
+    total: dict[str, float] = defaultdict(float)
+    step = 1
+    for _ in range(passes):
+        wrong = 0
+        for rows, gold in chains:
+            step += 1
+            guess = viterbi(rows, weights)
+            if guess == gold:
+                continue
+            wrong += 1
+            for tags, by in ((gold, 1.0), (guess, -1.0)):
+                last = False
+                for c, tag in zip(rows, tags):
+                    if tag:
+                        for f in c.features():
+                            weights[f] += by
+                            total[f] += by * step
+                    f = ">" + "ib"[last] + "ib"[tag]
+                    weights[f] += by
+                    total[f] += by * step
+                    last = tag
+        if not wrong:
+            break
+    return {f: round(w - total[f] / step, 6) for f, w in weights.items() if w - total[f] / step}
+
+
+def paragraphs(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches between blank lines."""
+    at = 0
+    while at < len(text):
+        m = _BLANK_LINE.search(text, at)
+        if not m:
+            break
+        yield at, m.start()
+        at = m.end()
+    yield at, len(text)
+
+
+def sentences(text: str | None, weights: dict[str, float]) -> list[tuple[int, int]]:
+    """``(start, end)`` of each sentence in code points, end exclusive, blanks at both ends left out."""
+    out = []
+    for lo, hi in paragraphs(text or ""):
+        rows = candidates(text, lo, hi)
+        stops = [c.end for c, tag in zip(rows, viterbi(rows, weights)) if tag] + [hi]
+        at = lo
+        for stop in stops:
+            part = text[at:stop]
+            start = at + len(part) - len(part.lstrip(WHITE))
+            end = at + len(part.rstrip(WHITE))
+            if start < end:
+                out.append((start, end))
+            at = stop
+    return out
+
+
+def split(df: DataFrame, key: str, text: str, *, sample: int = SAMPLE, passes: int = PASSES) -> DataFrame:
+    """``(doc_id, start_pos int, end_pos int)`` of every sentence of every whole text, ``doc_id`` being ``key``.
+
+    The tagger is fitted on at most ``sample`` texts (those with the smallest hashes of key and text), whatever the size of the
+    table; its weights (a few thousand numbers) go to the tasks with the function. Null, empty and blank texts have no sentences.
+    """
+    taken = df.select(F.col(text).alias("t")).where(F.length("t") > 0).orderBy(F.xxhash64(key, text)).limit(sample).toPandas()["t"]
+    weights = train(sorted(taken), passes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, starts, ends = [], [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for a, b in sentences(t, weights):
+                    keys.append(k)
+                    starts.append(a)
+                    ends.append(b)
+            yield pa.record_batch([pa.array(keys, batch.schema.types[0]), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "start_pos", "end_pos"])
+
+    return df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"doc_id {dict(df.dtypes)[key]}, start_pos int, end_pos int")
