@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What a leading ordinal token stands for.
 ORDINALS = {"i": "1", "ii": "2", "iii": "3", "first": "1", "second": "2", "third": "3", "1": "1", "2": "2", "3": "3"}
@@ -62,15 +63,18 @@ def strip_html(column: Column) -> Column:
     """Line breaks as blanks, other tags and ``__`` removed, blanks collapsed and trimmed."""
     text = F.regexp_replace(column, r"(?i)<br\s*/?>", " ")
     text = F.replace(F.regexp_replace(text, r"<[^>]*>", ""), F.lit("__"), F.lit(""))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition."""
+def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def nfc(column: Column) -> Column:
+    """Canonical composition."""
+    return F.pandas_udf(_compose, T.StringType())(column)
+
+
 def without_gloss(column: Column) -> Column:
     """Without a trailing parenthetical; trimmed."""
     return F.trim(F.regexp_replace(column, r"\s*\([^()]*\)\s*$", ""))

@@ -77,7 +77,7 @@ verdicts AS (
     WHERE r.note_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents v WHERE v.doc_id = r.note_id AND v.loaded_at <= r.loaded_at))
   UNION ALL SELECT 'place_verses', '{CORPUS_KEYS[3].name}', loaded_at, 'direct' FROM (SELECT DISTINCT r.id, r.loaded_at FROM place_verses r
     WHERE r.place_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM places v WHERE v.id = r.place_id)))
-SELECT ref_table, fk, strftime(ts AT TIME ZONE 'UTC', '%Y-%m') AS period, count_if(kind = 'direct') AS direct, count_if(kind = 'inherited') AS inherited FROM verdicts GROUP BY ALL
+SELECT ref_table, fk, strftime(ts AT TIME ZONE 'UTC', '%Y-%m') AS period, count_if(kind = 'direct')::BIGINT AS direct, count_if(kind = 'inherited')::BIGINT AS inherited FROM verdicts GROUP BY ALL
 """
 
 

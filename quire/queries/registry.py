@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.queries import problems
+from quire.queries import corpus, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
-FLAGSHIP = "p2_report"
+QUERIES = {**corpus.QUERIES, **problems.QUERIES}
+SQL = {**corpus.SQL, **problems.SQL}
+FLAGSHIP = "k3_search_multi"
