@@ -260,8 +260,8 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
 
 def sentences(text: str | None, weights: dict[str, float]) -> list[tuple[int, int]]:
     """``(start, end)`` of each sentence in code points, end exclusive, blanks at both ends left out."""
-    out = []
-    for lo, hi in paragraphs(text or ""):
+    out, text = [], text or ""
+    for lo, hi in paragraphs(text):
         rows = candidates(text, lo, hi)
         stops = [c.end for c, tag in zip(rows, viterbi(rows, weights)) if tag] + [hi]
         at = lo
