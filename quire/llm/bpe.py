@@ -144,6 +144,7 @@ class Vocabulary:
                     self.ids[base64.b64decode(token)] = int(rank)
             self.ranks = None
         self.known: dict[str, tuple[int, ...]] = {}
+        self.back: dict[int, bytes] | None = None
 
     def rank(self, a: bytes, b: bytes) -> int | None:
         return self.ids.get(a + b) if self.ranks is None else self.ranks.get((a, b))
@@ -253,8 +254,9 @@ def _encode(texts: list[str], vocab: Vocabulary) -> Iterator[tuple[list[int], li
 
 def decode(ids: Iterable[int], vocab: Vocabulary) -> str:
     """The text of ids."""
-    back = {i: b for b, i in vocab.ids.items()}
-    return b"".join(back[i] for i in ids).decode("utf-8", "replace")
+    if vocab.back is None:
+        vocab.back = {i: b for b, i in vocab.ids.items()}
+    return b"".join(vocab.back[i] for i in ids).decode("utf-8", "replace")
 
 
 def token_ids(df: DataFrame, key: str, text: str, *, folder: str = VOCABULARIES, name: str = VOCABULARY, offsets: bool = False) -> DataFrame:
