@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import parallelism
+
 EARTH_KM = 6371.0088
 #: Points in a coarse cell from which it is split one, two, three times.
 CROWDED = (32, 256, 4096)
@@ -53,6 +55,8 @@ def near_pairs(points: DataFrame, km: float, radius: float = EARTH_KM) -> DataFr
     reach = 2.0 * math.sin(min(km / radius, math.pi) / 2.0)  # as a chord
     side = max(reach, 1e-6)
     levels = len(CROWDED)
+    # a few bytes a point, but many cells and tests each: spread by number, not by size
+    points = points.repartition(parallelism(points.sparkSession), "id")
     coarse = points.select("id", "lat", "lon", "x", "y", "z", *_cell(side))
     size = coarse.groupBy("ix", "iy", "iz").count()
     split = sum((F.when(F.col("count") >= limit, 1).otherwise(0) for limit in CROWDED), F.lit(0))
@@ -80,7 +84,6 @@ def near_pairs(points: DataFrame, km: float, radius: float = EARTH_KM) -> DataFr
 
     # a point is found under its cell of every level down to the depth of its coarse cell
     held = coarse.join(occupied, ["ix", "iy", "iz"]).select("id", "lat", "lon", "x", "y", "z", "depth", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("level"))
-    scale = F.pow(F.lit(2.0), F.col("level")) / F.lit(side)
     # halving keeps cells nested: floor(2 v) // 2 == floor(v)
     right = held.select(F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), "level", *(F.floor((F.col(c) + 1.0) / side * F.pow(F.lit(2.0), F.col("level"))).cast("int").alias(f"i{c}") for c in "xyz"))
     near = great_circle(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"), radius) <= km
