@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.errors import VectorGuardError
 from quire.functions.scalars import unit_vector
@@ -20,7 +21,7 @@ META = ("model", "model_revision", "dim", "precision", "normalized")
 def usable(df: DataFrame, vector: str, dim: int) -> DataFrame:
     """Rows with ``dim`` numbers, none null or NaN, not all zero."""
     v = F.col(vector)
-    return df.where(F.coalesce((F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(v, lambda x: x != 0), F.lit(False)))
+    return df.where(v.isNotNull()).where(F.coalesce((F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(v, lambda x: x != 0), F.lit(False)))
 
 
 def similarity(vector: str, query: Sequence[float]):
@@ -87,7 +88,7 @@ def embedded(df: DataFrame, text: str, embedder: Embedder, batch: int = 64) -> D
     """``df`` with ``vector``; texts are embedded in batches within Arrow batches. Null texts have null vectors."""
     if batch < 1:
         raise ValueError("batch must be positive")
-    schema = df.withColumn("vector", F.array().cast("array<float>")).schema
+    schema = T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -113,14 +113,14 @@ def any_span(spans: Sequence[Span], chapter: str = "chapter", verse: str = "vers
     return reduce(or_, (s.predicate(chapter, verse) for s in spans)) if spans else F.lit(False)
 
 
-def parse_reference(text: str, resolver: BookResolver) -> Reference:
+def parse_reference(text: str, resolver: BookResolver, longest: int | None = None) -> Reference:
     """One reference; ReferenceSyntaxError if it is none, UnknownBook if only the book is unknown. Numbers are not checked against
-    any text: a verse that does not exist selects nothing."""
+    any text: a verse that does not exist selects nothing. ``longest``: most characters (``MOST_CHARACTERS`` for untrusted input)."""
     raw = text.strip()
     if not raw:
         raise ReferenceSyntaxError("the reference is empty")
-    if len(text) > MOST_CHARACTERS:
-        raise ReferenceSyntaxError(f"a reference has at most {MOST_CHARACTERS} characters")
+    if longest is not None and len(text) > longest:
+        raise ReferenceSyntaxError(f"a reference has at most {longest} characters")
     if ";" in raw:
         raise ReferenceSyntaxError("one reference at a time: ';' separates several")
     # the book ends with the last ASCII letter, the rest is numbers
