@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.queries import corpus, problems
+from quire.queries import corpus, ingest, problems
 
-QUERIES = {**corpus.QUERIES, **problems.QUERIES}
-SQL = {**corpus.SQL, **problems.SQL}
+QUERIES = {**corpus.QUERIES, **ingest.QUERIES, **problems.QUERIES}
+SQL = {**corpus.SQL, **ingest.SQL, **problems.SQL}
 FLAGSHIP = "k3_search_multi"

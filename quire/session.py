@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,15 +33,36 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one the session names in ``spark.checkpoint.dir``; only where that is
     unset (local tests) a folder of this machine is used.
     """
-    context = df.sparkSession.sparkContext
+    workspace(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def workspace(spark: SparkSession) -> str:
+    """The shared folder of this session, set for checkpoints where it isn't yet."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"quire-{os.getpid()}-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
 
 
 def parallelism(spark: SparkSession) -> int:
     """Tasks that keep all cores busy: the shuffle setting, or the cores if that is larger."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Makes this package importable in the Python workers of all executors, once a session: they need not share a folder with the driver."""
+    context = spark.sparkContext
+    if getattr(context, "_quire_shipped", False):
+        return spark
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="quire-package-")) / "quire.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(target))  # the driver serves it to the executors
+    context._quire_shipped = True
+    return spark
