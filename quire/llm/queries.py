@@ -16,6 +16,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.pairs(neighbours.nearest(table(spark, d, "verse_embeddings", "vec_id", "vector")))
 
 
+# Brute force over all pairs; only for tables as small as those it is compared on.
+_P1 = """
+WITH s AS (SELECT DISTINCT ON (vec_id) vec_id, vector::DOUBLE[] AS v FROM verse_embeddings WHERE vec_id IS NOT NULL AND vector IS NOT NULL AND len(vector) = 64
+  AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS l FROM s),
+c AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.v, b.v) / a.l / b.l, 12) AS cosine FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+n AS (SELECT i, j FROM c WHERE cosine >= 0.85 QUALIFY row_number() OVER (PARTITION BY i ORDER BY cosine DESC, j) <= 5)
+SELECT DISTINCT least(i, j) AS left_id, greatest(i, j) AS right_id FROM n
+"""
 RECORD = ["text_id", "book_id", "chapter", "verse"]
 
 
@@ -74,4 +83,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found}
-SQL = {"p4_found": _P4, "p4_counts": _COUNTS + "SELECT * FROM c", "p6_found": _P6}
+SQL = {"p1_found": _P1, "p4_found": _P4, "p4_counts": _COUNTS + "SELECT * FROM c", "p6_found": _P6}

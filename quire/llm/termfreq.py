@@ -117,8 +117,8 @@ def term_counts(rows: DataFrame, term: Column, record: list[str], *, cap: int =
 def marked(counts: DataFrame, rare_below: int = 3, common_share: float = 0.08) -> DataFrame:
     """``(term, occurrences, records, mark)``: ``rare`` in fewer than ``rare_below`` records, ``common`` in at least
     ``common_share`` of all records, else null. With few records a term can be both: then there is a row for each mark.
-    The number of all records is one row, joined to the terms by broadcast."""
-    total = counts.where("term is null").agg(F.coalesce(F.sum("records"), F.lit(0)).alias("total"))
-    terms = counts.where("term is not null").join(F.broadcast(total))
+    The number of all records is a scalar subquery."""
+    total = counts.where("term is null").agg(F.coalesce(F.sum("records"), F.lit(0)).alias("total")).scalar()
+    terms = counts.where("term is not null").withColumn("total", total)
     marks = F.array_compact(F.array(F.when(F.col("records") < rare_below, "rare"), F.when(F.col("records") >= F.col("total") * common_share, "common")))
     return terms.select("term", "occurrences", "records", F.explode_outer(marks).alias("mark"))
