@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import parallelism
+
 _TOKEN = re.compile(r'[ \t\n\r]*([{}\[\]:,]|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)')
 
 
@@ -176,7 +178,9 @@ def shredded(df: DataFrame, key: str, payload: str, entities: Sequence[str]) ->
                     rows = [[] for _ in range(9)]
             yield _batch(rows)
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(payload).alias("payload")).distinct().mapInArrow(run, _DDL)
+    # partitioned by number, which also serves the distinct: parsing costs more than its bytes suggest
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(payload).alias("payload")).repartition(parallelism(df.sparkSession), "key", "payload").distinct()
+    return rows.mapInArrow(run, _DDL)
 
 
 def _batch(rows: list[list]) -> pa.RecordBatch:

@@ -53,6 +53,14 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan that is to feed costly work per row: if it has fewer partitions than there are cores, its rows are hashed by ``keys`` to
+    one partition a core. Scans of many files, as large tables have, stay as they are. ``df`` must not contain a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    own = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if own >= cores else df.repartition(cores, *keys)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Makes this package importable in the Python workers of all executors, once a session: they need not share a folder with the driver."""
     context = spark.sparkContext
