@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.lookalike import same_form
+from quire.session import spread
 
 #: Most documents in the training sample (those with the smallest hashes), and passes over them.
 SAMPLE, PASSES = 6000, 8
@@ -308,4 +309,5 @@ def split(df: DataFrame, key: str, text: str, *, sample: int = SAMPLE, passes: i
                     ends.append(b)
             yield pa.record_batch([pa.array(keys, batch.schema.types[0]), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "start_pos", "end_pos"])
 
-    return df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"doc_id {dict(df.dtypes)[key]}, start_pos int, end_pos int")
+    rows = spread(df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("t")), "doc_id")
+    return rows.mapInArrow(run, f"doc_id {dict(df.dtypes)[key]}, start_pos int, end_pos int")
