@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import parallelism
+
 # Letters of one shape, as "the Latin letter: others that look like it".
 LOOK_ALIKE = {
     "A": "ΑА", "B": "ΒВ", "C": "СϹ", "E": "ΕЕ", "F": "Ϝ", "G": "Ԍ", "H": "ΗНҺ", "I": "ΙІӀ", "J": "ЈͿ", "K": "ΚК", "M": "ΜМϺ", "N": "Ν",
@@ -156,7 +158,7 @@ def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     join is between distinct (form, text) on one side, so equal texts are never paired, and runs on (form) with
     texts of one form spread by their own hash when a form is crowded.
     """
-    rows = with_form(df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null").distinct(), "t", "f")
+    rows = with_form(df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null").repartition(parallelism(df.sparkSession), "k", "t").distinct(), "t", "f")
     rows = rows.withColumn("h", F.xxhash64("f"))
     # only forms with more than one stored text go on; this aggregate has map-side combination
     mixed = rows.groupBy("h", "f").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("h", "f")
