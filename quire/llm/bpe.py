@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import spread
+
 #: Where the vocabulary files are; a parameter of every function that reads one.
 VOCABULARIES = os.environ.get("QUIRE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
@@ -281,7 +283,8 @@ def token_ids(df: DataFrame, key: str, text: str, *, folder: str = VOCABULARIES,
                     ids, ends, first, size = [], [], at, 0
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, ids array<int>" + ", ends array<int>" * offsets)
+    rows = spread(df.select(F.col(key), F.col(text).cast("string")), key)
+    return rows.mapInArrow(run, f"`{key}` {kind}, ids array<int>" + ", ends array<int>" * offsets)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
