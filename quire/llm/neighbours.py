@@ -5,7 +5,7 @@ Plan
    deliveries of an id count once. Equal vectors form one class; the graphs hold one node a class,
    so a vector that a third of all rows share is indexed and searched once.
 2. Spherical k-means on a bounded sample (``SAMPLE`` classes, the smallest hashes) makes cells
-   of about ``SHARD`` nodes. Every class is indexed in its nearest cell; a cell that is larger than
+   of about ``SHARD`` nodes; centres that coincide or have no members go, so that none takes up a probe. Every class is indexed in its nearest cell; a cell that is larger than
    twice that is split by hash into shards. Each class queries all shards of its ``PROBES`` nearest cells.
 3. One task a shard: rows arrive with the index first, the graph is built (greedy searches
    propose, relaxed pruning keeps), then queries stream through beam searches in Arrow batches.
@@ -61,8 +61,9 @@ def unit(matrix: np.ndarray) -> np.ndarray:
 
 
 def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
-    """Centres of a spherical k-means."""
-    centres = sample[:cells].copy()
+    """Centres of a spherical k-means, at most ``cells``: each has members in the sample, and no two are the same direction."""
+    _, first = np.unique(sample.round(6), axis=0, return_index=True)
+    centres = sample[np.sort(first)[:cells]].copy()
     for _ in range(rounds):
         near = (sample @ centres.T).argmax(1)
         for k in range(len(centres)):
@@ -71,7 +72,9 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
                 total = members.sum(0)
                 if (length := np.linalg.norm(total)) > 0:
                     centres[k] = total / length
-    return centres
+    _, first = np.unique(centres.round(6), axis=0, return_index=True)
+    centres = centres[np.sort(first)]
+    return centres[np.unique((sample @ centres.T).argmax(1))]
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -134,14 +137,14 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "vector", *, dim:
     spark = df.sparkSession
     base = cut(usable(df, key, vector, dim))
     classes = base.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    n = base.count()
+    nodes = cut(classes)
+    n = nodes.count()
     cells = max(1, math.ceil(n / shard))
     if cells > 1:
-        taken = base.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toPandas()
+        taken = nodes.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toPandas()
         centres = fit_cells(unit(np.stack(taken["vector"])), cells)
     else:
         centres = np.zeros((1, dim))
-    nodes = cut(classes)
     probe = min(probes, len(centres))
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,6 +71,25 @@ def test_equal_vectors_and_ties(spark):
     assert neighbours.nearest(df.limit(0), dim=4).count() == 0
 
 
+def test_neighbours_around_a_hot_vector(spark):
+    rng = np.random.default_rng(4)
+    hot = rng.normal(size=8)
+    hot /= np.linalg.norm(hot)
+    around = hot + rng.normal(size=(400, 8)) * 0.12
+    far = rng.normal(size=(600, 8))
+    x = np.concatenate([np.tile(hot, (500, 1)), around, far]).astype(np.float32).astype(np.float64)
+    ids = rng.permutation(5000)[: len(x)]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, vector array<float>")
+    got = {tuple(r) for r in neighbours.pairs(neighbours.nearest(df, dim=8, shard=30)).collect()}
+    copies, near = set(ids[:500].tolist()), set(ids[500:900].tolist())
+    want = {p for p in brute(ids, x, 5, 0.85) if near & {*p}}
+    assert any(copies & {*p} for p in want)
+    assert len(got & want) >= 0.97 * len(want)
+    centres = neighbours.fit_cells(neighbours.unit(x), 50)
+    assert len(np.unique(centres.round(6), axis=0)) == len(centres) > 8
+    assert len(np.unique((neighbours.unit(x) @ centres.T).argmax(1))) == len(centres)
+
+
 # -- p4 ---------------------------------------------------------------------------
 def test_term_counts(spark):
     rng = random.Random(1)
