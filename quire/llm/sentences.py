@@ -58,6 +58,7 @@ _SPACE = re.compile(r"(?<=\S)[^\S\n\r\x85  ]+(?=\S)")
 _BEFORE = re.compile(rf"[^{re.escape(WHITE)}]*$")
 #: A sentence that runs into the word for want of a blank.
 _JOINED = re.compile(r"^.*[^\W\d_]{3,}[.!?]+(?=[^\W\d_])")
+_BARE = frozenset(FINAL + CLOSING + OPENING + NOTE + WHITE)
 _STRIPPED = str.maketrans({c: None for c in FINAL + CLOSING + OPENING + NOTE + ",:-–—、，"})
 
 
@@ -78,11 +79,12 @@ def _kind(ch: str) -> str:
 class Candidate:
     """A place where a sentence may end: ``end`` (exclusive) and what its neighbourhood looks like."""
 
-    __slots__ = ("end", "mark", "token", "shape", "before", "closer", "opened", "space", "next", "unmarked")
+    __slots__ = ("end", "mark", "token", "shape", "before", "closer", "opened", "space", "next", "unmarked", "bare")
 
     def __init__(self, end, mark, token="", shape="", before="", closer="", opened="", space="", next="", unmarked=False):
         self.end, self.mark, self.token, self.shape, self.before = end, mark, token, shape, before
         self.closer, self.opened, self.space, self.next, self.unmarked = closer, opened, space, next, unmarked
+        self.bare = False  # right after another, with nothing but marks and blanks between
 
     def features(self) -> tuple[str, ...]:
         if self.unmarked:
@@ -148,6 +150,10 @@ def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
             if m.start() not in taken and (_UNMARKED.match(left) or left.isdigit() and _UNMARKED.match(right)):
                 found.append(Candidate(m.start(), " ", shape="T" if _UNMARKED.match(left) else _kind(left or ","), next="T" if _UNMARKED.match(right) else _kind(right or ","), unmarked=True))
         found.sort(key=lambda c: c.end)
+    at = lo
+    for c in found:
+        c.bare = c.end - at <= 2 and all(x in _BARE or unicodedata.category(x) == "Cf" for x in text[at : c.end])
+        at = c.end
     return found
 
 
@@ -206,17 +212,14 @@ def viterbi(rows: list[Candidate], weights: dict[str, float]) -> list[bool]:
     inside, ends = 0.0, float("-inf")
     back: list[tuple[bool, bool]] = []
     get = weights.get
-    last = -1
     for c in rows:
         score = 0.0
         for f in c.features():
             score += get(f, 0.0)
-        near = c.end - last <= 2
-        from_inside, from_end = inside + get(">ib", 0.0), ends + (float("-inf") if near else get(">bb", 0.0))
+        from_inside, from_end = inside + get(">ib", 0.0), ends + (float("-inf") if c.bare else get(">bb", 0.0))
         stay_inside, stay_end = inside + get(">ii", 0.0), ends + get(">bi", 0.0)
         back.append((stay_end > stay_inside, from_end > from_inside))
         inside, ends = max(stay_inside, stay_end), max(from_inside, from_end) + score
-        last = c.end
     tag, out = ends > inside, []
     for to_inside, to_end in reversed(back):
         out.append(tag)

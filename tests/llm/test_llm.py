@@ -312,6 +312,13 @@ def test_blank_lines_and_breaks(tagger):
     assert [text[a:b] for a, b in sentences.sentences(text, tagger)] == ["One\ntwo three", "Four", "Five", "Six"]
 
 
+def test_sentences_of_one_character(tagger):
+    text = "他们走了。好。后来呢？"
+    assert [text[a:b] for a, b in sentences.sentences(text, tagger)] == ["他们走了。", "好。", "后来呢？"]
+    text = "他们走了。 。后来呢？"  # marks alone are no sentence
+    assert len(sentences.sentences(text, tagger)) == 2
+
+
 def test_viterbi_is_the_best_path(tagger):
     rng = random.Random(0)
     text = "A b. C d? E. f! G… H."
