@@ -5,7 +5,8 @@ of final marks with its closing quotes, brackets and footnote marks; in scripts
 before a space); all others are clamped to inside, so a chain runs over the candidates. Its weights are trained here, with an
 averaged structured perceptron, on a bounded sample of the corpus itself. The sample is labelled by cautious rules over fixed
 lists (there are no labelled sentences to learn from), so the tagger generalises those rules; for scripts without
-punctuation it is trained on text stripped of any, so that it rests on spacing and neighbours alone.
+punctuation it is trained on text stripped of any as well, labelled by the marks that were there and else by rule, so that it
+rests on spacing and neighbours alone.
 A blank line always ends a sentence, and a line break alone never does: these are no matter of weights.
 """
 
@@ -227,16 +228,34 @@ def viterbi(rows: list[Candidate], weights: dict[str, float]) -> list[bool]:
     return out[::-1]
 
 
+def _bared(text: str, lo: int, hi: int, rows: list[Candidate]) -> tuple[list[Candidate], list[bool]]:
+    """The candidates of a paragraph stripped of punctuation, and their labels: what the marks that were there told (``rows``), else the rule."""
+    told, marked, kept = {}, {c.end: rule(c) for c in rows if not c.unmarked}, []
+    for i in range(lo, hi):
+        if i in marked:
+            told[len(kept)] = told.get(len(kept), False) or marked[i]
+        if text[i].translate(_STRIPPED):
+            kept.append(text[i])
+    bare = "".join(kept)
+    own = candidates(bare, 0, len(bare))
+    return own, [told.get(c.end, rule(c)) for c in own]
+
+
 def train(texts: Iterable[str], passes: int = PASSES) -> dict[str, float]:
-    """Averaged structured perceptron over the paragraphs of ``texts``; weights by feature."""
+    """Averaged structured perceptron over the paragraphs of ``texts``; weights by feature. Paragraphs in unmarked scripts
+    are learnt twice, as they are and stripped of punctuation."""
     chains, seen = [], set()
     for text in texts:
         for lo, hi in paragraphs(text or ""):
             rows = candidates(text, lo, hi)
-            key = tuple(c.features() for c in rows)
-            if rows and key not in seen:
-                seen.add(key)
-                chains.append((rows, [rule(c) for c in rows]))
+            own = [(rows, [rule(c) for c in rows])]
+            if _UNMARKED.search(text, lo, hi):
+                own.append(_bared(text, lo, hi, rows))
+            for rows, gold in own:
+                key = (tuple(c.features() for c in rows), tuple(gold))
+                if rows and key not in seen:
+                    seen.add(key)
+                    chains.append((rows, gold))
     weights: dict[str, float] = defaultdict(float)
     total: dict[str, float] = defaultdict(float)
     step = 1

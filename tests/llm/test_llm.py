@@ -319,6 +319,12 @@ def test_sentences_of_one_character(tagger):
     assert len(sentences.sentences(text, tagger)) == 2
 
 
+def test_unmarked_scripts_learn_from_stripped_text():
+    weights = sentences.train(["ทางไปเมือง! ชาวเมือง 396 คน! หอคอย! ลิมมา"] * 3)
+    text = "ลิมมา หอคอย 38 ศอก ทางไปเมือง"
+    assert [text[a:b] for a, b in sentences.sentences(text, weights)] == ["ลิมมา", "หอคอย 38 ศอก", "ทางไปเมือง"]
+
+
 def test_viterbi_is_the_best_path(tagger):
     rng = random.Random(0)
     text = "A b. C d? E. f! G… H."
