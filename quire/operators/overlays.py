@@ -56,9 +56,9 @@ def links_of(links: DataFrame, books: DataFrame, entity: str, value: str | None
     return own.select(entity, *COORDINATE).distinct().join(book_names(books), "book_id")
 
 
-def entities_at(entities: DataFrame, links: DataFrame, key: str, link_key: str, reference: Reference) -> DataFrame:
-    """The entities linked to any verse of a reference, each once: a semi join instead of a join and DISTINCT."""
-    here = links.where(reference.predicate()).select(F.col(link_key).alias(key))
+def entities_at(entities: DataFrame, links: DataFrame, key: str, link_key: str, reference: Reference | None = None) -> DataFrame:
+    """The entities linked to any verse of a reference, each once: a semi join instead of a join and DISTINCT. Without a reference: to any row of ``links``."""
+    here = (links if reference is None else links.where(reference.predicate())).select(F.col(link_key).alias(key))
     return entities.distinct().join(here, key, "left_semi")
 
 

@@ -93,6 +93,11 @@ def grouped(df: DataFrame, versions: Sequence[str]) -> DataFrame:
     return asked.join(own, "translation_id", "left").select("position", "translation_id", F.coalesce("verses", empty).alias("verses"))
 
 
+def grouped_chapters(df: DataFrame) -> DataFrame:
+    """F9 over whole tables: a row a version and chapter with its verses in order. A chapter bounds the arrays."""
+    return df.groupBy("translation_id", "book_id", "chapter").agg(F.array_sort(F.collect_list(F.struct("verse", "text"))).alias("verses"))
+
+
 def whole_version(verses: DataFrame, books: DataFrame, version: str) -> DataFrame:
     """One version in canonical order (book, chapter, verse). A range sort: no single task sees the whole corpus."""
     names = books.select(F.col("id").alias("book_id"), F.col("name").alias("book_name"), "canonical_order").distinct()

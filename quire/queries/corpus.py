@@ -112,6 +112,22 @@ def f9_grouped(spark, d):
     return g.select("translation_id", F.size("verses").cast("long").alias("n"), F.array_join(line, " | ").alias("verses"))
 
 
+@query(
+    once("verses")
+    + ", ".join(["SELECT book_id, chapter, verse"] + [f"min(CASE WHEN translation_id = '{v}' THEN text END) AS {v}" for v in VERSIONS])
+    + " FROM d_verses GROUP BY book_id, chapter, verse"
+)
+def f10_parallel_pivot_all(spark, d):
+    return passages.parallel(delivered_once(table(spark, d, "verses")), VERSIONS)
+
+
+@query(once("verses") + "SELECT translation_id, book_id, chapter, count(*) AS n, string_agg(verse || ' ' || text, ' | ' ORDER BY verse, text) AS verses FROM (SELECT DISTINCT translation_id, book_id, chapter, verse, text FROM d_verses) GROUP BY ALL")
+def f9_grouped_all(spark, d):
+    g = passages.grouped_chapters(table(spark, d, "verses", "translation_id", *COORDINATE, "text").distinct())
+    line = F.transform("verses", lambda v: F.concat(v["verse"].cast("string"), F.lit(" "), v["text"]))
+    return g.select("translation_id", "book_id", "chapter", F.size("verses").cast("long").alias("n"), F.array_join(line, " | ").alias("verses"))
+
+
 @query(once("verses", "books") + "SELECT v.id, b.name AS book_name, b.canonical_order, v.chapter, v.verse, v.text FROM d_verses v JOIN d_books b ON b.id = v.book_id WHERE v.translation_id = 'EN00'")
 def a14_whole_version(spark, d):
     return passages.whole_version(table(spark, d, "verses"), table(spark, d, "books"), "EN00").select("id", "book_name", "canonical_order", "chapter", "verse", "text")
@@ -150,6 +166,32 @@ def f4_total(spark, d):
     return _cross_references(spark, d).agg(F.count("*").alias("total"))
 
 
+# The same over whole tables: the votes are the only filter.
+_ALL_XREFS = "FROM d_cross_references x JOIN d_books f ON f.id = x.from_book_id JOIN d_books t ON t.id = x.to_book_id WHERE x.votes >= 2"
+
+
+def _all_cross_references(spark, d):
+    return overlays.cross_references_of(table(spark, d, "cross_references"), table(spark, d, "books"), min_votes=2)
+
+
+@query(once("cross_references", "books") + f"SELECT x.id, f.name AS from_name, {_TARGET} AS target, x.votes {_ALL_XREFS}")
+def e4_double_dim_all(spark, d):
+    return _all_cross_references(spark, d).select("id", "from_name", "target", "votes")
+
+
+@query(
+    once("cross_references", "books")
+    + f"SELECT x.id, {_TARGET} AS target, x.votes {_ALL_XREFS} ORDER BY x.votes DESC, x.from_chapter, x.from_verse, t.canonical_order, x.to_chapter, x.to_verse_start NULLS FIRST, x.to_verse_end NULLS FIRST, x.id LIMIT 20 OFFSET 10"
+)
+def h3_page_all(spark, d):
+    return passages.page(_all_cross_references(spark, d), *overlays.cross_reference_order(), limit=20, offset=10).rows.select("id", "target", "votes")
+
+
+@query(once("cross_references", "books") + f"SELECT count(*) AS total {_ALL_XREFS}")
+def f4_total_all(spark, d):
+    return _all_cross_references(spark, d).agg(F.count("*").alias("total"))
+
+
 _TEXT = "SELECT book_id, chapter, verse, min(text) AS text FROM verses WHERE translation_id = 'EN00' GROUP BY ALL"
 
 
@@ -182,6 +224,11 @@ def e8_semi_distinct(spark, d):
     return overlays.entities_at(table(spark, d, "places", "id", "name", "type"), table(spark, d, "place_verses"), "id", "place_id", at(spark, d, "AAA 1-40"))
 
 
+@query("SELECT DISTINCT id, name, type FROM places WHERE id IN (SELECT place_id FROM place_verses)")
+def e8_semi_distinct_all(spark, d):
+    return overlays.entities_at(table(spark, d, "places", "id", "name", "type"), table(spark, d, "place_verses", "place_id"), "id", "place_id")
+
+
 @query(once("word_tokens", "strongs_entries") + "SELECT w.text_id, w.book_id, w.chapter, w.verse, w.position, w.surface_form, w.strongs_id, e.lemma, e.gloss FROM d_word_tokens w LEFT JOIN d_strongs_entries e ON e.strongs_id = w.strongs_id")
 def e9_left_lexicon(spark, d):
     return overlays.words_at(table(spark, d, "word_tokens"), table(spark, d, "strongs_entries")).select("text_id", *COORDINATE, "position", "surface_form", "strongs_id", "lemma", "gloss")
