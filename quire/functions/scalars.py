@@ -176,3 +176,17 @@ def fused_heading(text: Column) -> Column:
     notation = F.forall(words, lambda w: F.lower(F.btrim(w, F.lit(".,;'’"))).isin(NOTATION))
     good = own.rlike(pattern) & (F.size(words) >= 2) & (capital >= F.greatest(F.lit(2), F.size(words) - 2)) & ~notation
     return F.when(good, F.struct(heading.alias("heading"), F.regexp_replace(F.regexp_extract(own, pattern, 1), r"\s+$", "").alias("cleaned"), F.regexp_extract(own, pattern, 2).try_cast("int").alias("anchor")))
+
+
+#: Texts that words are looked up in where none is asked for.
+HEBREW_TEXT, GREEK_TEXT = "OSHB", "SBLGNT"
+
+
+def default_text_of_word(strongs_id: Column) -> Column:
+    """The Hebrew text for ids H..., else the Greek one."""
+    return F.when(strongs_route(strongs_id).startswith("H"), HEBREW_TEXT).otherwise(GREEK_TEXT)
+
+
+def default_text_of_testament(testament: Column) -> Column:
+    """The Hebrew text for the OT, else the Greek one."""
+    return F.when(testament == "OT", HEBREW_TEXT).otherwise(GREEK_TEXT)

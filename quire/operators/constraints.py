@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.errors import ContractError
+from quire.sources.tables import delivered_once, table
 
 
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -58,3 +60,26 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     from functools import reduce
 
     return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows") for name, df in tables.items()))
+
+
+#: Tables a corpus folder must have.
+REQUIRED = ("translations", "verses", "cross_references", "books", "places")
+
+
+def verify(spark: SparkSession, folder: str, default: str, *, embedded: str | None = None, required: Sequence[str] = REQUIRED) -> dict[str, int]:
+    """Row counts of the tables of ``folder`` at start-up; ContractError if one is missing, or if the default version or that of the vectors is not loaded."""
+    found, missing = {}, []
+    for name in required:
+        try:
+            found[name] = delivered_once(table(spark, folder, name))
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            missing.append(name)
+    if missing:
+        raise ContractError(f"{folder} has no table {', '.join(missing)}")
+    loaded = {r["id"] for r in table(spark, folder, "translations", "id").distinct().collect()}
+    for what, version in (("default version", default), ("embedded version", embedded)):
+        if version is not None and version not in loaded:
+            raise ContractError(f"{what} {version!r} is not loaded; loaded: {sorted(loaded)}")
+    return {r["name"]: r["n_rows"] for r in row_counts(found).collect()}

@@ -87,6 +87,15 @@ def lexicon_order(language: str = "language", key: str = "strongs_id") -> list[C
     return [F.asc(language), leading_number(F.substring(key, 2, 100)).asc(), F.asc(key)]
 
 
+def headings_of(headings: DataFrame, books: DataFrame, version: str | None = None, book_id: str | None = None, chapter: int | None = None) -> DataFrame:
+    """Section headings with book names, in the order of the text. Each filter left out: all."""
+    for name, value in (("translation_id", version), ("book_id", book_id), ("chapter", chapter)):
+        if value is not None:
+            headings = headings.where(F.col(name) == value)
+    own = headings.select("id", "translation_id", "book_id", "chapter", "before_verse", "ordinal", "text").distinct()
+    return own.join(book_names(books), "book_id").orderBy("translation_id", "canonical_order", "chapter", "before_verse", "ordinal", "id")
+
+
 def words_at(words: DataFrame, entries: DataFrame, reference: Reference | None = None, text_id: str | None = None) -> DataFrame:
     """Word tokens with their lexicon entry, null where they have none. Without a reference: of all verses."""
     if reference is not None:

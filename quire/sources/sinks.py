@@ -59,3 +59,38 @@ def with_etag(df: DataFrame, name: str = "etag") -> DataFrame:
     from quire.functions.scalars import etag
 
     return df.withColumn(name, etag(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})))
+
+
+def write_manifest(changes: DataFrame, corroborated: DataFrame, markdown: str, csv: str) -> None:
+    """Headings that were cut off (``etl.repaired_headings``), with the number of versions that agree (``etl.corroboration``), as one
+    Markdown and one CSV file in these folders, by version and coordinate."""
+    place = ["book_id", "chapter", "verse", "heading"]
+    order = ["translation_id", *place]
+    n, low = F.col("n_versions").cast("string"), F.col("low_confidence")
+    ref = F.concat("book_id", F.lit(" "), F.col("chapter").cast("string"), F.lit(":"), F.col("verse").cast("string"))
+    before = F.coalesce(F.col("before_verse").cast("string"), F.lit("None"))
+    rows = changes.join(corroborated, place)
+    total = rows.agg(F.count("*").alias("n"), F.countDistinct("translation_id").alias("versions"), F.count_if(low).alias("low"), F.count_if("skipped").alias("skipped")).first()
+    quoted = F.concat(F.lit('"'), F.replace("heading", F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", "translation_id", ref, before, quoted, n, low.cast("int").cast("string"), F.col("skipped").cast("int").cast("string"))
+    _write_lines(["code,ref,before_verse,heading,corroboration,low_confidence,skipped"], rows.select(*order, line.alias("line")), order, csv)
+    head = [
+        "# Fused-heading cleanup manifest",
+        "",
+        f"Total strips: **{total.n}** across **{total.versions}** translations. Low-confidence (single-translation) strips: **{total.low}**. Unanchored/skipped: **{total.skipped}**.",
+        "",
+        "`LOW_CONFIDENCE` = the same (verse, heading) was not corroborated by any other translation.",
+        "",
+        "| Translation | Reference | before_verse | Heading | Corrob. | Flag |",
+        "| --- | --- | --- | --- | --- | --- |",
+    ]
+    flag = F.when(F.col("skipped"), "SKIPPED").when(low, "LOW_CONFIDENCE").otherwise("")
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", "translation_id", ref, before, "heading", n, flag), F.lit(" |"))
+    _write_lines(head, rows.select(*order, cells.alias("line")), order, markdown)
+
+
+def _write_lines(head: Sequence[str], rows: DataFrame, order: Sequence[str], folder: str) -> None:
+    """One text file: ``head``, then the column ``line`` of ``rows`` in ``order``."""
+    first = rows.sparkSession.createDataFrame(list(enumerate(head)), "position int, line string")
+    both = first.unionByName(rows.withColumn("position", F.lit(len(head))), allowMissingColumns=True)
+    both.coalesce(1).sortWithinPartitions("position", *order).select("line").write.mode("overwrite").text(folder)
