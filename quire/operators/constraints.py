@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,10 +56,20 @@ def require(violations: DataFrame, what: str, *order: Column | str) -> None:
         raise ContractError(f"{what}: {first[0].asDict(recursive=True)}")
 
 
+def require_all(*checks: tuple[DataFrame, str, Sequence[Column | str]]) -> None:
+    """Several ``(violations, what, order)`` in one job; raises ContractError with the first offender of the first check that has one."""
+    parts = []
+    for rank, (violations, what, order) in enumerate(checks):
+        first = (violations.orderBy(*order) if order else violations).limit(1)
+        parts.append(first.select(F.lit(rank).alias("rank"), F.lit(what).alias("what"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in first.columns))).alias("row")))
+    found = reduce(DataFrame.unionByName, parts).collect()
+    if found:
+        worst = min(found, key=lambda r: r["rank"])
+        raise ContractError(f"{worst['what']}: {worst['row']}")
+
+
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """``(name, n_rows)`` of each table, in one job."""
-    from functools import reduce
-
     return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows") for name, df in tables.items()))
 
 

@@ -128,7 +128,7 @@ def footnotes(records: DataFrame, books: DataFrame) -> DataFrame:
     """Notes of ``records(book_index, chapter, verse, text, ...)`` with the abbreviation of the book at that index; ``reason`` where there
     is none or the text is empty."""
     names = books.select(F.col("canonical_order").alias("book_index"), F.col("id").alias("book"))
-    own = records.join(F.broadcast(names), "book_index", "left")
+    own = records.join(names, "book_index", "left")
     reason = F.when(F.col("book").isNull(), "unresolved_book").when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty_text")
     return own.withColumn("reason", reason)
 
@@ -137,7 +137,7 @@ def version_document(verses: DataFrame, books: DataFrame) -> DataFrame:
     """Verses as nested documents, one a version: books in canonical order, their chapters, their verses. The arrays hold one version each."""
     chapter = verses.groupBy("translation_id", "book_id", "chapter").agg(F.array_sort(F.collect_list(F.struct(F.col("verse").alias("number"), "text"))).alias("verses"))
     book = chapter.groupBy("translation_id", "book_id").agg(F.array_sort(F.collect_list(F.struct(F.col("chapter").alias("number"), "verses"))).alias("chapters"))
-    named = book.join(F.broadcast(books.select(F.col("id").alias("book_id"), "name", "canonical_order")), "book_id")
+    named = book.join(books.select(F.col("id").alias("book_id"), "name", "canonical_order"), "book_id")
     return named.groupBy(F.col("translation_id").alias("code")).agg(F.array_sort(F.collect_list(F.struct(F.col("canonical_order").alias("order_index"), F.col("book_id").alias("abbreviation"), "name", "chapters"))).alias("books"))
 
 
@@ -196,7 +196,7 @@ def place_links(ancient: DataFrame, places: DataFrame, catalog: BookTable) -> tu
     are one link; places that were left out have none."""
     own = ancient.join(places.select("id"), "id", "left_semi").select(F.col("id").alias("place_id"), F.explode("verses").alias("v"))
     own = own.select("place_id", scalars.sort_key(F.col("v.sort")).alias("s"), scalars.osis(F.col("v.osis")).alias("o")).withColumn("osis_book", F.col("o.book"))
-    own = catalog.resolve(own, "osis_book", "by_name").join(F.broadcast(catalog.books.select(F.col("canonical_order").alias("_order"), F.col("id").alias("by_order"))), F.col("s.book_order") == F.col("_order"), "left")
+    own = catalog.resolve(own, "osis_book", "by_name").join(catalog.books.select(F.col("canonical_order").alias("_order"), F.col("id").alias("by_order")), F.col("s.book_order") == F.col("_order"), "left")
     first = F.col("by_order").isNotNull() & (F.col("s.chapter") >= 1) & (F.col("s.verse") >= 1)
     second = F.col("by_name").isNotNull() & (F.col("s").isNull() | F.col("by_order").isNotNull())
     pick = lambda a, b: F.when(first, a).when(second, b)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,12 +46,53 @@ def workspace(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"quire-{os.getpid()}-"))
     return context.getCheckpointDir()
 
 
+#: Where :func:`staged` writes; None: beside the checkpoints.
+_FOLDER: ContextVar[str | None] = ContextVar("quire_folder", default=None)
+#: Folders of :func:`staged` outside any :func:`scratch`, until :func:`release`.
+_KEPT: list[str] = []
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: made once, its lineage cut, and later reads take the columns they need. The table
+    goes with the :func:`scratch` folder it lies in, else with :func:`release`."""
+    spark = df.sparkSession
+    own = _FOLDER.get()
+    target = f"{own or workspace(spark)}/staged-{uuid.uuid4().hex}"
+    if own is None:
+        _KEPT.append(target)
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that :func:`staged` made; frames that read them are no longer usable."""
+    while _KEPT:
+        delete(spark, _KEPT.pop())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder beside the checkpoints that is deleted at the end, with all tables staged meanwhile. What leaves it must be cut."""
+    folder = f"{workspace(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDER.reset(token)
+        delete(spark, folder)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks that keep all cores busy: the shuffle setting, or the cores if that is larger."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

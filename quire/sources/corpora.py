@@ -1,13 +1,15 @@
 """A: scans of corpus files with explicit schemas. A file that breaks its contract fails the load, with the first offender.
 
-Schemas are never inferred. Files are read in sorted order; whatever needs a sequence (note ids, ordinals) is numbered by
+Schemas are never inferred. Each file is parsed once, to a staged table; all checks of a scan are one job over it. Files are read in sorted order; whatever needs a sequence (note ids, ordinals) is numbered by
 (directory, file, position), so a rebuild gives the same rows whatever the partitioning.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 
 from quire.errors import ContractError
 from quire.functions.scalars import normal_name, osis
-from quire.operators.constraints import broken_rows, duplicate_keys, missing_parents, outside_values, require
+from quire.operators.constraints import broken_rows, duplicate_keys, missing_parents, outside_values, require, require_all
+from quire.operators.numbering import numbered
 from quire.operators.passages import first_by
+from quire.session import staged, workspace
 
 # What a note type, a direction and a testament may be.
 NOTE_TYPES = ("tn", "sn", "tc", "map", "other")
@@ -38,25 +42,48 @@ PLACES_LINES = """id string, friendly_id string, url_slug string, preceding_arti
 POSITIONS_LINES = "id string, lonlat string"
 
 
+def other_names(prefix: str) -> str:
+    """A glob for the names of JSON files that do not begin with ``prefix``: those that end within it, and those that leave it at some letter."""
+    leaves = [f"{prefix[:i]}[^{ch}]*" for i, ch in enumerate(prefix)]
+    return "{" + ",".join([*(prefix[:i] for i in range(1, len(prefix))), *leaves]) + "}.json"
+
+
+def _hidden(spark: SparkSession, directory: str, pattern: str, target: str) -> str | None:
+    """Files of ``directory`` whose names begin with ``_`` or a period, which Spark's readers pass over, copied to ``target`` under names that
+    they read (an ``h`` in front); None if there are none. They are listed on the driver, as Spark lists a directory itself."""
+    jvm = spark.sparkContext._jvm
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), jvm.org.apache.hadoop.fs.Path
+    where = path(directory)
+    fs = where.getFileSystem(conf)
+    if not fs.exists(where) or not fs.getFileStatus(where).isDirectory():
+        return None
+    found = fs.globStatus(path(where, "[_.]*.json"), jvm.org.apache.hadoop.fs.GlobFilter(pattern))
+    for status in found:
+        own = status.getPath()
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, own, path(target).getFileSystem(conf), path(target, f"h{own.getName()}"), False, conf)
+    return fs.makeQualified(where).toString() if len(found) else None
+
+
 def json_documents(spark: SparkSession, dirs: Sequence[str], schema: str, pattern: str = "*.json") -> DataFrame:
     """One row a file of the directories (I2), with ``dir_rank`` and ``path``. Unreadable JSON or a value of another type fails. Missing or
-    empty directories have no rows."""
+    empty directories have no rows. Files that Spark takes for hidden (``_x.json``) are read too. The files are parsed once: what is returned
+    reads a staged table."""
     found = []
+    reader = lambda: spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", pattern)
     for rank, directory in enumerate(dirs):
-        reader = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", pattern)
         try:
-            own = reader.json(directory)
+            found.append(reader().json(directory).withColumn("path", F.col("_metadata.file_path")).withColumn("dir_rank", F.lit(rank)))
         except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e):
-                continue
-            raise
-        found.append(own.withColumn("path", F.col("_metadata.file_path")).withColumn("dir_rank", F.lit(rank)))
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            continue
+        copies = f"{workspace(spark)}/hidden-{uuid.uuid4().hex}"
+        if own := _hidden(spark, directory, pattern, copies):
+            name = F.concat(F.lit(f"{own}/"), F.expr("substring(_metadata.file_name, 2)"))
+            found.append(reader().option("pathGlobFilter", "*.json").json(copies).withColumn("path", name).withColumn("dir_rank", F.lit(rank)))
     if not found:
         return spark.createDataFrame([], f"{schema}, path string, dir_rank int")
-    out = found[0]
-    for own in found[1:]:
-        out = out.unionByName(own)
-    return out
+    return staged(reduce(DataFrame.unionByName, found))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -72,9 +99,9 @@ class BookTable:
     aliases: DataFrame
 
     def resolve(self, df: DataFrame, column: str, into: str = "book_id") -> DataFrame:
-        """``df`` with the id of the book that ``column`` names, null if none does. The catalog is broadcast: it has one row a book."""
+        """``df`` with the id of the book that ``column`` names, null if none does. The catalog has a row a name; its measured size decides how it is joined."""
         keys = self.aliases.select(F.col("alias").alias("_alias"), F.col("book_id").alias(into))
-        return df.withColumn("_alias", normal_name(F.col(column))).join(F.broadcast(keys), "_alias", "left").drop("_alias")
+        return df.withColumn("_alias", normal_name(F.col(column))).join(keys, "_alias", "left").drop("_alias")
 
 
 def book_table(spark: SparkSession, text: str) -> BookTable:
@@ -115,36 +142,41 @@ def versions(spark: SparkSession, dirs: Sequence[str], catalog: BookTable) -> tu
     files = json_documents(spark, dirs, VERSION_FILE)
     if files.isEmpty():
         raise ContractError("no version files")
-    require(broken_rows(files, non_empty=["code", "name", "language"], required=["books"]).select("path", "broken"), "version file", "path")
-    require(duplicate_keys(files, ["code"]), "a code comes twice", "code")
     shown = files.select(F.col("code").alias("id"), "name", "language", F.coalesce("direction", F.lit("ltr")).alias("direction"), F.col("copyright").alias("attribution"))
-    require(outside_values(shown, "direction", DIRECTIONS), "direction", "id")
     books = files.select("path", F.col("code").alias("translation_id"), F.explode("books").alias("b")).select("path", "translation_id", "b.abbreviation", "b.order_index", "b.chapters")
     books = catalog.resolve(books, "abbreviation")
     by_order = catalog.books.select(F.col("canonical_order").alias("order_index"), F.col("id").alias("by_order"))
-    checked = books.join(F.broadcast(by_order), "order_index", "left")
-    require(checked.where("book_id is null or by_order is null or book_id <> by_order").select("path", "abbreviation", "order_index", "book_id", "by_order"), "book identity", "path", "order_index")
+    checked = books.join(by_order, "order_index", "left")
     chapters = books.select("path", "translation_id", "book_id", F.explode("chapters").alias("c")).select("path", "translation_id", "book_id", F.col("c.number").alias("chapter"), "c.verses", "c.headings")
     verses = chapters.select("path", "translation_id", "book_id", "chapter", F.explode("verses").alias("v")).select("path", "translation_id", "book_id", "chapter", F.col("v.number").alias("verse"), F.btrim("v.text").alias("text"))
-    require(broken_rows(verses, non_empty=["text"], positive=["chapter", "verse"]), "verse", "path", "chapter", "verse")
     key = ["translation_id", "book_id", "chapter", "verse"]
-    require(duplicate_keys(verses, key), "a verse comes twice", *key)
     headings = chapters.select("translation_id", "book_id", "chapter", F.posexplode("headings").alias("p", "h")).select("translation_id", "book_id", "chapter", F.col("h.before_verse").alias("before_verse"), F.btrim("h.text").alias("text"), (F.col("p") + 1).alias("ordinal"))
-    require(broken_rows(headings, non_empty=["text"], positive=["before_verse"]), "heading", *key[:3], "ordinal")
+    require_all(
+        (broken_rows(files, non_empty=["code", "name", "language"], required=["books"]).select("path", "broken"), "version file", ["path"]),
+        (duplicate_keys(files, ["code"]), "a code comes twice", ["code"]),
+        (outside_values(shown, "direction", DIRECTIONS), "direction", ["id"]),
+        (checked.where("book_id is null or by_order is null or book_id <> by_order").select("path", "abbreviation", "order_index", "book_id", "by_order"), "book identity", ["path", "order_index"]),
+        (broken_rows(verses, non_empty=["text"], positive=["chapter", "verse"]), "verse", ["path", "chapter", "verse"]),
+        (duplicate_keys(verses, key), "a verse comes twice", key),
+        (broken_rows(headings, non_empty=["text"], positive=["before_verse"]), "heading", [*key[:3], "ordinal"]),
+    )
     return shown, verses.drop("path"), headings
 
 
 def cross_references(spark: SparkSession, path: str, catalog: BookTable) -> tuple[DataFrame, DataFrame]:
     """A2: ``(references, clamped)`` of tab-separated files ``from, to, votes`` with a header. A range that leaves its chapter or book is
     cut to its first verse; ``clamped`` has one row with how many were."""
-    lines = spark.read.option("header", True).option("sep", "\t").option("quote", "").option("mode", "FAILFAST").schema("from_token string, to_token string, votes int").csv(path)
+    lines = staged(spark.read.option("header", True).option("sep", "\t").option("quote", "").option("mode", "FAILFAST").schema("from_token string, to_token string, votes int").csv(path))
     ends = F.split("to_token", "-")
     parts = lines.where("from_token is not null").select("from_token", "to_token", "votes", osis(F.col("from_token")).alias("f"), osis(ends[0]).alias("s"), osis(F.try_element_at(ends, F.lit(2))).alias("e"), F.size(ends).alias("n"))
-    require(parts.where("f is null or s is null or votes is null or n > 2 or (n = 2 and e is null)").select("from_token", "to_token", "votes"), "cross reference", "from_token", "to_token")
     wide = parts.select("from_token", "to_token", "votes", *(F.col(f"{a}.{b}").alias(f"{a}_{b}") for a in "fse" for b in ("book", "chapter", "verse")))
     for a in "fse":
         wide = catalog.resolve(wide, f"{a}_book", f"{a}_id")
-    require(wide.where("f_id is null or s_id is null or (e_book is not null and e_id is null)").select("from_token", "to_token"), "unknown book", "from_token", "to_token")
+    tokens = ["from_token", "to_token"]
+    require_all(
+        (parts.where("f is null or s is null or votes is null or n > 2 or (n = 2 and e is null)").select(*tokens, "votes"), "cross reference", tokens),
+        (wide.where("f_id is null or s_id is null or (e_book is not null and e_id is null)").select(*tokens), "unknown book", tokens),
+    )
     stays = (F.col("e_id") == F.col("s_id")) & (F.col("e_chapter") == F.col("s_chapter"))
     out = wide.select(
         F.col("f_id").alias("from_book_id"), F.col("f_chapter").alias("from_chapter"), F.col("f_verse").alias("from_verse"), F.col("s_id").alias("to_book_id"), F.col("s_chapter").alias("to_chapter"),
@@ -165,23 +197,21 @@ def notes(spark: SparkSession, dirs: Sequence[str], catalog: BookTable, translat
     """``(notes, references)``. Ids count from 1 over directories, files and positions; a missing ordinal is the place among
     the notes of the verse in the file. An unknown book or version fails."""
     files = json_documents(spark, dirs, NOTES_FILE)
-    require(missing_parents(files, ["translation"], translations, ["id"]).select("path", "translation"), "unknown version", "path")
     flat = files.select("dir_rank", "path", F.col("translation").alias("translation_id"), F.posexplode("notes").alias("position", "n")).select("dir_rank", "path", "translation_id", "position", "n.*")
-    flat = catalog.resolve(flat, "book")
-    require(flat.where("book_id is null").select("path", "position", "book"), "unknown book", "path", "position")
-    require(broken_rows(flat, non_empty=["text"], positive=["chapter", "verse"]).select("path", "position", "broken"), "note", "path", "position")
-    require(outside_values(flat, "type", NOTE_TYPES).select("path", "position", "type"), "note type", "path", "position")
-    require(flat.where("char_offset < 0").select("path", "position", "char_offset"), "negative offset", "path", "position")
-    # numbering files first keeps the global sequence free of a single-task window over all notes
-    sizes = flat.groupBy("dir_rank", "path").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("dir_rank", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    place = F.row_number().over(Window.partitionBy("dir_rank", "path").orderBy("position"))
     turn = F.row_number().over(Window.partitionBy("dir_rank", "path", "book_id", "chapter", "verse").orderBy("position"))
-    own = flat.withColumn("place", place).withColumn("turn", turn).join(F.broadcast(before), ["dir_rank", "path"]).withColumn("id", F.col("before") + F.col("place"))
-    out = own.select("id", "translation_id", "book_id", "chapter", "verse", F.col("type").alias("note_type"), "text", F.coalesce("char_offset", F.lit(0)).alias("char_offset"), "marker", F.coalesce("ordinal", "turn").alias("ordinal"))
+    own = numbered(catalog.resolve(flat, "book").withColumn("turn", turn), ["dir_rank", "path", "position"], "id")
     refs = own.select(F.col("id").alias("note_id"), "path", F.posexplode("cross_references").alias("at", "r")).select("note_id", "path", "at", "r.book", F.col("r.chapter").alias("to_chapter"), F.col("r.verse_start").alias("to_verse_start"), F.when(F.col("r.verse_end") >= 0, F.col("r.verse_end")).alias("to_verse_end"))
     refs = catalog.resolve(refs, "book", "to_book_id")
-    require(refs.where("to_book_id is null or to_verse_end < to_verse_start").select("path", "note_id", "at", "book", "to_verse_start", "to_verse_end"), "note reference", "note_id", "at")
+    place = ["path", "position"]
+    require_all(
+        (missing_parents(files, ["translation"], translations, ["id"]).select("path", "translation"), "unknown version", ["path"]),
+        (own.where("book_id is null").select(*place, "book"), "unknown book", place),
+        (broken_rows(own, non_empty=["text"], positive=["chapter", "verse"]).select(*place, "broken"), "note", place),
+        (outside_values(own, "type", NOTE_TYPES).select(*place, "type"), "note type", place),
+        (own.where("char_offset < 0").select(*place, "char_offset"), "negative offset", place),
+        (refs.where("to_book_id is null or to_verse_end < to_verse_start").select("path", "note_id", "at", "book", "to_verse_start", "to_verse_end"), "note reference", ["note_id", "at"]),
+    )
+    out = own.select("id", "translation_id", "book_id", "chapter", "verse", F.col("type").alias("note_type"), "text", F.coalesce("char_offset", F.lit(0)).alias("char_offset"), "marker", F.coalesce("ordinal", "turn").alias("ordinal"))
     return out, refs.drop("book", "path")
 
 
@@ -189,10 +219,12 @@ def topics(spark: SparkSession, dirs: Sequence[str], catalog: BookTable) -> tupl
     """``(topics, links, skipped)``; links to unknown books are skipped and counted, a repeated link is one, a repeated id fails."""
     files = json_documents(spark, dirs, TOPICS_FILE)
     flat = files.select("path", "source", F.explode("topics").alias("t")).select("path", "source", "t.*")
-    require(broken_rows(flat, non_empty=["id", "name"], required=["section"]).select("path", "id", "broken"), "topic", "path", "id")
-    require(duplicate_keys(flat, ["id"]), "a topic id comes twice", "id")
     links = catalog.resolve(flat.select(F.col("id").alias("topic_id"), F.explode("verses").alias("v")).select("topic_id", "v.*"), "book")
-    require(broken_rows(links, required=["book"], positive=["chapter", "verse"]), "topic link", "topic_id")
+    require_all(
+        (broken_rows(flat, non_empty=["id", "name"], required=["section"]).select("path", "id", "broken"), "topic", ["path", "id"]),
+        (duplicate_keys(flat, ["id"]), "a topic id comes twice", ["id"]),
+        (broken_rows(links, required=["book"], positive=["chapter", "verse"]), "topic link", ["topic_id"]),
+    )
     kept = links.where("book_id is not null").select("topic_id", "book_id", "chapter", "verse").distinct()
     see = F.when(F.trim("see_also") != "", F.trim("see_also"))
     return flat.select("id", "name", "section", see.alias("see_also"), "source"), kept, links.agg(F.count_if(F.col("book_id").isNull()).alias("skipped"))
@@ -200,10 +232,12 @@ def topics(spark: SparkSession, dirs: Sequence[str], catalog: BookTable) -> tupl
 
 def lexicon(spark: SparkSession, dirs: Sequence[str]) -> DataFrame:
     """Entries of all JSON files but those of tokens. Only a transliteration may be empty; a repeated id fails."""
-    files = json_documents(spark, dirs, LEXICON_FILE, "[!t]*.json")
+    files = json_documents(spark, dirs, LEXICON_FILE, other_names("tokens-"))
     flat = files.select("source", F.explode("entries").alias("e")).select("e.*", "source")
-    require(broken_rows(flat, non_empty=["strongs_id", "language", "lemma", "gloss", "definition"], required=["transliteration"]), "lexicon entry", "strongs_id")
-    require(duplicate_keys(flat, ["strongs_id"]), "an entry comes twice", "strongs_id")
+    require_all(
+        (broken_rows(flat, non_empty=["strongs_id", "language", "lemma", "gloss", "definition"], required=["transliteration"]), "lexicon entry", ["strongs_id"]),
+        (duplicate_keys(flat, ["strongs_id"]), "an entry comes twice", ["strongs_id"]),
+    )
     return flat
 
 
@@ -222,22 +256,26 @@ def journeys(spark: SparkSession, dirs: Sequence[str], places: DataFrame) -> tup
     """``(journeys, stops)``; ids differ, every journey has stops with different ordinals from 1, every place exists."""
     files = json_documents(spark, dirs, JOURNEYS_FILE)
     flat = files.select("path", F.explode("journeys").alias("j")).select("path", "j.*")
-    require(broken_rows(flat, non_empty=["id", "name", "scripture", "source", "note"], required=["stops"]).select("path", "id", "broken"), "journey", "path", "id")
-    require(duplicate_keys(flat, ["id"]), "a journey id comes twice", "id")
-    require(flat.where(F.size("stops") == 0).select("id"), "a journey without stops", "id")
     stops = flat.select(F.col("id").alias("journey_id"), F.explode("stops").alias("s")).select("journey_id", "s.*")
-    require(broken_rows(stops, non_empty=["place_id"], positive=["ordinal"]), "stop", "journey_id", "ordinal")
-    require(duplicate_keys(stops, ["journey_id", "ordinal"]), "a stop comes twice", "journey_id", "ordinal")
-    require(missing_parents(stops, ["place_id"], places, ["id"]), "unknown place", "journey_id", "ordinal")
+    stop = ["journey_id", "ordinal"]
+    require_all(
+        (broken_rows(flat, non_empty=["id", "name", "scripture", "source", "note"], required=["stops"]).select("path", "id", "broken"), "journey", ["path", "id"]),
+        (duplicate_keys(flat, ["id"]), "a journey id comes twice", ["id"]),
+        (flat.where(F.size("stops") == 0).select("id"), "a journey without stops", ["id"]),
+        (broken_rows(stops, non_empty=["place_id"], positive=["ordinal"]), "stop", stop),
+        (duplicate_keys(stops, stop), "a stop comes twice", stop),
+        (missing_parents(stops, ["place_id"], places, ["id"]), "unknown place", stop),
+    )
     return flat.drop("path", "stops"), stops
 
 
 def tab_lines(spark: SparkSession, paths: Sequence[str] | str, least: int) -> DataFrame:
-    """``(path, line, cols)`` of raw tab-separated files, a leading byte-order mark removed, rows with fewer than ``least`` columns
-    left out. ``line`` orders the lines of a file: the offset is unknown to Spark, so a file is one split (``wholetext``)."""
-    texts = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    lines = texts.select("path", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line", "text"))
-    return lines.select("path", "line", F.split("text", "\t").alias("cols")).where(F.size("cols") >= least)
+    """``(path, line, cols)`` of raw tab-separated files, a leading byte-order mark removed (the line reader does that), rows with
+    fewer than ``least`` columns left out. Files are split like any text; ``line`` (where its split begins, its turn there) orders
+    the lines of a file."""
+    turn = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("turn"))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), turn.alias("line"), "value")
+    return lines.select("path", "line", F.split("value", "\t").alias("cols")).where(F.size("cols") >= least)
 
 
 def csv_records(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -49,9 +49,9 @@ def build(tables: Mapping[str, DataFrame], folder: str) -> dict[str, int]:
     return {name: write_table(tables[name], folder, name) for name in order}
 
 
-def write_json(df: DataFrame, folder: str, files: int = 1) -> None:
-    """Rows as JSON lines."""
-    df.coalesce(files).write.mode("overwrite").option("ignoreNullFields", False).json(folder)
+def write_json(df: DataFrame, folder: str, files: int | None = None) -> None:
+    """Rows as JSON lines, in at most ``files`` files (None: one a task)."""
+    (df if files is None else df.coalesce(files)).write.mode("overwrite").option("ignoreNullFields", False).json(folder)
 
 
 def with_etag(df: DataFrame, name: str = "etag") -> DataFrame:
