@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,12 +133,36 @@ def footnotes(records: DataFrame, books: DataFrame) -> DataFrame:
     return own.withColumn("reason", reason)
 
 
-def version_document(verses: DataFrame, books: DataFrame) -> DataFrame:
-    """Verses as nested documents, one a version: books in canonical order, their chapters, their verses. The arrays hold one version each."""
-    chapter = verses.groupBy("translation_id", "book_id", "chapter").agg(F.array_sort(F.collect_list(F.struct(F.col("verse").alias("number"), "text"))).alias("verses"))
-    book = chapter.groupBy("translation_id", "book_id").agg(F.array_sort(F.collect_list(F.struct(F.col("chapter").alias("number"), "verses"))).alias("chapters"))
-    named = book.join(books.select(F.col("id").alias("book_id"), "name", "canonical_order"), "book_id")
-    return named.groupBy(F.col("translation_id").alias("code")).agg(F.array_sort(F.collect_list(F.struct(F.col("canonical_order").alias("order_index"), F.col("book_id").alias("abbreviation"), "name", "chapters"))).alias("books"))
+def document_lines(rows: DataFrame, key: str, order: Sequence[str], item: str, head: Column, tail: Column, *, group: str | None = None, opening: Column | None = None, closing: Column | None = None) -> DataFrame:
+    """``(key, *order, line)``: a JSON document a key, in lines: ``head``, the texts of ``item`` divided by commas, ``tail``. With ``group``
+    (which ``order`` begins with), items stand between ``opening`` and ``closing`` of their group; a null item leaves its group empty.
+    A row holds one item, so a document may be of any length."""
+    place = Window.partitionBy(key).orderBy(*order)
+    first, last = F.row_number().over(place) == 1, F.lead(F.lit(1)).over(place).isNull()
+    comma = F.when(first, head).otherwise(",")
+    before, after = comma, F.lit("")
+    if group is not None:
+        begins = first | ~F.lag(group).over(place).eqNullSafe(F.col(group))
+        ends = last | ~F.lead(group).over(place).eqNullSafe(F.col(group))
+        before, after = F.when(begins, F.concat(comma, opening)).otherwise(","), F.when(ends, closing).otherwise("")
+    return rows.withColumn("line", F.concat(before, F.coalesce(item, F.lit("")), after, F.when(last, tail).otherwise(""))).select(key, *order, "line")
+
+
+def version_lines(verses: DataFrame, books: DataFrame, headings: DataFrame | None = None) -> DataFrame:
+    """``(translation_id, canonical_order, chapter, line)``: version documents, books in canonical order, their chapters, their verses, and headings
+    ``(translation_id, book_id, chapter, ordinal, before_verse, text)`` by ordinal. The arrays hold one chapter each."""
+    chapter = ["translation_id", "book_id", "chapter"]
+    own = verses.groupBy(*chapter).agg(F.array_sort(F.collect_list(F.struct(F.col("verse").alias("number"), "text"))).alias("verses"))
+    if headings is not None:
+        titles = headings.groupBy(*chapter).agg(F.array_sort(F.collect_list(F.struct("ordinal", "before_verse", "text"))).alias("headings"))
+        own = own.join(titles, chapter, "left")
+    fields = [F.col("chapter").alias("number"), "verses", *([] if headings is None else ["headings"])]
+    own = own.join(books.select(F.col("id").alias("book_id"), "name", "canonical_order"), "book_id").withColumn("item", F.to_json(F.struct(*fields)))
+    code = F.to_json(F.struct(F.col("translation_id").alias("code"), F.col("translation_id").alias("name"), F.lit("und").alias("language")))
+    book = F.to_json(F.struct(F.col("canonical_order").alias("order_index"), F.col("book_id").alias("abbreviation"), "name"))
+    within = lambda text, name: F.concat(F.expr(f"substring({text}, 1, length({text}) - 1)"), F.lit(f',"{name}":['))
+    own = own.withColumns({"_code": code, "_book": book})
+    return document_lines(own, "translation_id", ["canonical_order", "chapter"], "item", within("_code", "books"), F.lit("]}"), group="canonical_order", opening=within("_book", "chapters"), closing=F.lit("]}"))
 
 
 def repaired_headings(verses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.errors import NoMatch, UnknownValue
 from quire.functions.scalars import contains_ci, leading_number, reference_text
+from quire.operators.passages import bounded
 from quire.plans.reference import Reference
 
 COORDINATE = ["book_id", "chapter", "verse"]
@@ -18,7 +22,9 @@ def book_names(books: DataFrame) -> DataFrame:
 
 
 def cross_references_of(edges: DataFrame, books: DataFrame, where: Column | None = None, min_votes: int | None = None) -> DataFrame:
-    """References with the names of both books and their target in words; ``min_votes`` drops null votes too."""
+    """References with the names of both books and their target in words; ``min_votes`` (at least 0, C10) drops null votes too."""
+    if min_votes is not None:
+        bounded("min_votes", min_votes, 0)
     if where is not None:
         edges = edges.where(where)
     if min_votes is not None:
@@ -82,6 +88,49 @@ def listed(df: DataFrame, columns: Sequence[str], query: str | None = None, **eq
     return df.distinct()
 
 
+# The columns of the short shapes.
+SUMMARIES = {
+    "place": ("id", "friendly_id", "name", "type", "latitude", "longitude", "confidence", "confidence_score", "status"),
+    "journey": ("id", "name", "scripture", "dating", "stop_count"),
+    "topic": ("id", "name", "section", "see_also"),
+    "word": ("strongs_id", "language", "lemma", "transliteration", "gloss"),
+}
+
+
+def summary(df: DataFrame, entity: str) -> DataFrame:
+    """The columns of the short shape, in its order (the long shape is the table itself)."""
+    return df.select(*SUMMARIES[entity])
+
+
+def lookup(df: DataFrame, value: object, *columns: str) -> DataFrame:
+    """The row whose first of ``columns`` with that value has it (an id before a slug); NoMatch if none does. Repeats count once."""
+    found = df.where(reduce(or_, (F.col(c).eqNullSafe(F.lit(value)) for c in columns)))
+    turn = F.coalesce(*(F.when(F.col(c) == F.lit(value), i) for i, c in enumerate(columns)))
+    one = found.orderBy(turn, *columns).limit(1)
+    if one.isEmpty():
+        raise NoMatch(f"no row with {' or '.join(columns)} {value!r}")
+    return one
+
+
+def allowed_value(df: DataFrame, column: str, value: str | None, known: Sequence[str] | None = None) -> str | None:
+    """A filter value, trimmed; None if it is blank; UnknownValue, with what there is, if it is neither among ``known`` nor, without that, in
+    the column. Meant for columns of few values."""
+    if value is None or not value.strip():
+        return None
+    own = value.strip()
+    there = list(known) if known is not None else sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+    if own not in there:
+        raise UnknownValue(column, own, there)
+    return own
+
+
+def stops_of(stops: DataFrame, places: DataFrame) -> DataFrame:
+    """Stops with name and position of their place, in the order of the journey; NaN positions are null."""
+    number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    own = places.select(F.col("id").alias("place_id"), "name", number("latitude"), number("longitude")).distinct()
+    return stops.join(own, "place_id", "left")
+
+
 def lexicon_order(language: str = "language", key: str = "strongs_id") -> list[Column]:
     """H2: language, then the number after the letter, then the id."""
     return [F.asc(language), leading_number(F.substring(key, 2, 100)).asc(), F.asc(key)]

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator, Mapping, Sequence
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.errors import VectorGuardError
+from quire.errors import InvalidParameter, VectorGuardError
 from quire.functions.scalars import unit_vector
+from quire.operators.passages import bounded
 
 META = ("model", "model_revision", "dim", "precision", "normalized")
 
@@ -104,6 +106,64 @@ def embedded(df: DataFrame, text: str, embedder: Embedder, batch: int = 64) -> D
     return df.mapInPandas(run, schema)
 
 
+def write_store(texts: DataFrame, order: Sequence[str], text: str, embedder: Embedder, folder: str, *, model: str, revision: str = "", batch: int = 64, limit: int | None = None) -> int:
+    """``folder/vectors.parquet`` with the vectors of all texts (with ``limit``, of the first in ``order``), and the row of ``folder/meta.parquet``
+    that tells what made them; the number of vectors. An empty corpus is an error, and leaves no store."""
+    from quire.sources.sinks import write_table
+
+    own = texts.where(F.col(text).isNotNull())
+    if limit is not None:
+        own = own.orderBy(*order).limit(limit)
+    if own.isEmpty():
+        raise VectorGuardError("no texts to embed")
+    n = write_table(embedded(own, text, embedder, batch).drop(text), folder, "vectors", cluster=order)
+    row = (model, revision, embedder.dim, "float32", True, n)
+    write_table(texts.sparkSession.createDataFrame([row], "model string, model_revision string, dim int, precision string, normalized boolean, n long"), folder, "meta")
+    return n
+
+
+class Store:
+    """A store of vectors in memory of the executors, loaded once a process and folder."""
+
+    _loaded: dict[tuple[int, str], Store] = {}
+
+    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder, order: Sequence[str]):
+        meta = spark.read.parquet(f"{folder}/meta.parquet")
+        guard(meta, {"dim": embedder.dim, "normalized": True})
+        self.embedder, self.order = embedder, list(order)
+        self.rows = spark.read.parquet(f"{folder}/vectors.parquet").cache()
+        odd = self.rows.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("vector"), F.lit(-1)) != embedder.dim).alias("odd")).first()
+        if not odd["n"] or odd["odd"]:
+            self.rows.unpersist()
+            raise VectorGuardError(f"{folder} holds no vectors" if not odd["n"] else f"{odd['odd']} vectors of {folder} are not of length {embedder.dim}")
+
+    @classmethod
+    def of(cls, spark: SparkSession, folder: str, embedder: Embedder, order: Sequence[str]) -> Store:
+        """L4: the store of a folder, loaded at the first call."""
+        key = (id(spark), folder)
+        if key not in cls._loaded:
+            cls._loaded[key] = cls(spark, folder, embedder, order)
+        return cls._loaded[key]
+
+    def ordered(self) -> DataFrame:
+        """All vectors in the order of the store."""
+        return self.rows.orderBy(*self.order)
+
+    def search(self, query: str, k: int, min_score: float | None = None) -> DataFrame:
+        """L2: the ``k`` texts nearest to ``query``, with ``score``. ``min_score`` lies in [-1, 1]."""
+        if min_score is not None and not -1.0 <= min_score <= 1.0:
+            raise InvalidParameter("min_score must be at least -1 and at most 1")
+        bounded("k", k, 1)
+        asked = self.embedder.embed([query])[0]
+        return cosine_top_k(self.rows, "vector", asked.tolist(), k, order=self.order, floor=min_score)
+
+
+def guard_report(meta: DataFrame, expected: Mapping[str, object]) -> DataFrame:
+    """``(name, found, expected, fits)`` of each expected value against the rows of ``meta``."""
+    rows = [meta.select(F.lit(n).alias("name"), F.col(n).cast("string").alias("found"), F.lit(str(v)).alias("expected"), F.col(n).eqNullSafe(F.lit(v)).alias("fits")) for n, v in expected.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def guard(meta: DataFrame, expected: Mapping[str, object], names: Iterable[str] = META) -> None:
     """The one row of ``meta`` has the expected values; VectorGuardError names every one that differs."""
     rows = meta.limit(2).collect()

@@ -248,10 +248,69 @@ def _stops(spark, d):
     return table(spark, d, "place_verses", "book_id", "chapter", "place_id", "verse", "id").dropna(subset=["verse", "book_id", "chapter"]).select(F.concat_ws(" ", "book_id", "chapter").alias("journey_id"), "place_id", "verse", "id").distinct()
 
 
-@query(f"WITH s AS ({_STOPS}), p AS (SELECT DISTINCT id AS place_id, name, latitude FROM places) SELECT s.journey_id, s.id, s.place_id, p.name, p.latitude FROM s LEFT JOIN p USING (place_id)")
+_AT_PLACE = "p AS (SELECT DISTINCT id AS place_id, name, CASE WHEN NOT isnan(latitude) THEN round(latitude, 6) END AS latitude, CASE WHEN NOT isnan(longitude) THEN round(longitude, 6) END AS longitude FROM places)"
+
+
+@query(f"WITH s AS ({_STOPS}), {_AT_PLACE} SELECT s.journey_id, s.id, s.place_id, p.name, p.latitude, p.longitude FROM s LEFT JOIN p USING (place_id)")
 def e11_stops(spark, d):
-    names = table(spark, d, "places", "id", "name", "latitude").distinct().withColumnRenamed("id", "place_id")
-    return _stops(spark, d).join(names, "place_id", "left").select("journey_id", "id", "place_id", "name", "latitude")
+    found = overlays.stops_of(_stops(spark, d), table(spark, d, "places", "id", "name", "latitude", "longitude"))
+    return found.select("journey_id", "id", "place_id", "name", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"))
+
+
+@query(f"WITH s AS ({_STOPS}), top AS (SELECT place_id FROM s GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT journey_id, count(*) AS stop_count FROM s WHERE journey_id IN (SELECT journey_id FROM s WHERE place_id = (SELECT place_id FROM top)) GROUP BY 1")
+def e12_journeys_at(spark, d):
+    """The journeys of the place with the most stops, which is asked for first."""
+    stops = _stops(spark, d)
+    place = stops.groupBy("place_id").count().orderBy(F.desc("count"), "place_id").first()[0]
+    return overlays.journeys_at(stops.select("journey_id").distinct(), stops, place)
+
+
+# Bounds and filters of lookups: the values are checked, then they are predicates.
+@query("SELECT DISTINCT id, friendly_id, name, type, CASE WHEN NOT isnan(latitude) THEN latitude END AS latitude, CASE WHEN NOT isnan(longitude) THEN longitude END AS longitude, confidence, confidence_score, status FROM places WHERE type = 'river' AND status = 'identified'")
+def d15_places_of_type(spark, d):
+    """The short shape of places of a type and status, both checked against what there is."""
+    places = table(spark, d, "places", *overlays.SUMMARIES["place"])
+    kind, status = overlays.allowed_value(places, "type", " river "), overlays.allowed_value(places, "status", "identified")
+    number = lambda c: F.when(~F.isnan(c), F.col(c))
+    found = overlays.summary(overlays.listed(places, ["name"], None, type=kind, status=status), "place")
+    return found.withColumns({c: number(c) for c in ("latitude", "longitude")}).distinct()
+
+
+@query("SELECT DISTINCT strongs_id, language, lemma, transliteration, gloss FROM strongs_entries")
+def d12_word_summaries(spark, d):
+    return overlays.summary(table(spark, d, "strongs_entries"), "word").distinct()
+
+
+@query("SELECT DISTINCT strongs_id, language, lemma, transliteration, gloss, definition, source FROM strongs_entries WHERE strongs_id = 'G1'")
+def d1_word(spark, d):
+    """An entry by its id, as asked for."""
+    asked = spark.range(1).select(scalars.strongs_route(F.lit(" g0001 "))).first()[0]
+    return overlays.lookup(table(spark, d, "strongs_entries"), asked, "strongs_id")
+
+
+@query("SELECT DISTINCT id, name, url_slug FROM places WHERE url_slug = (SELECT min(url_slug) FROM places) ORDER BY id LIMIT 1")
+def d1_place_by_slug(spark, d):
+    """A place by id or slug."""
+    places = table(spark, d, "places", "id", "name", "url_slug")
+    slug = places.agg(F.min("url_slug")).first()[0]
+    return overlays.lookup(places.orderBy("id"), slug, "id", "url_slug").select("id", "name", "url_slug")
+
+
+@query("SELECT DISTINCT strongs_id, CASE WHEN upper(strongs_id) LIKE 'H%' THEN 'OSHB' ELSE 'SBLGNT' END AS text_id FROM strongs_entries")
+def d16_default_text(spark, d):
+    """Where the verses of a word are looked up if no text is asked for."""
+    return table(spark, d, "strongs_entries", "strongs_id").distinct().select("strongs_id", scalars.default_text_of_word(F.col("strongs_id")).alias("text_id"))
+
+
+#: Chapter headings for the headings operators: one a version and chapter that it has.
+_HEADS = "SELECT DISTINCT translation_id || ' ' || book_id || ' ' || chapter AS id, translation_id, book_id, chapter, 1 AS before_verse, 0 AS ordinal, 'Chapter ' || chapter AS text FROM verses"
+
+
+@query(once("books") + f", h AS ({_HEADS}) SELECT h.id, b.name AS book_name, b.canonical_order, h.chapter, h.text FROM h JOIN d_books b ON b.id = h.book_id WHERE translation_id = 'EN00'")
+def e6_headings(spark, d):
+    own = table(spark, d, "verses", "translation_id", "book_id", "chapter").distinct()
+    heads = own.select(F.concat_ws(" ", "translation_id", "book_id", "chapter").alias("id"), "translation_id", "book_id", "chapter", F.lit(1).alias("before_verse"), F.lit(0).alias("ordinal"), F.concat(F.lit("Chapter "), F.col("chapter").cast("string")).alias("text"))
+    return overlays.headings_of(heads, table(spark, d, "books"), "EN00").select("id", "book_name", "canonical_order", "chapter", "text")
 
 
 @query(f"WITH s AS ({_STOPS}), top AS (SELECT place_id FROM s GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT journey_id, count(*) AS stop_count FROM s WHERE journey_id IN (SELECT journey_id FROM s WHERE place_id = (SELECT place_id FROM top)) GROUP BY 1")
@@ -283,6 +342,17 @@ def c7_agreement(spark, d):
     return constraints.disagreeing_books(table(spark, d, "verses", "book_id", "translation_id", "chapter"))
 
 
+# As above where a version lacks the last chapter of each book that has several.
+@query(
+    """WITH v AS (SELECT DISTINCT book_id, translation_id, chapter FROM verses), l AS (SELECT *, max(chapter) OVER (PARTITION BY book_id) AS most FROM v),
+    n AS (SELECT book_id, translation_id, count(DISTINCT chapter) AS n FROM l WHERE NOT (translation_id = 'DE00' AND chapter = most AND most > 1) GROUP BY ALL) SELECT book_id, min(n) AS least, max(n) AS most FROM n GROUP BY 1 HAVING min(n) <> max(n)"""
+)
+def c7_disagreement(spark, d):
+    own = table(spark, d, "verses", "book_id", "translation_id", "chapter").distinct()
+    last = own.groupBy("book_id").agg(F.max("chapter").alias("most"))
+    return constraints.disagreeing_books(own.join(last, "book_id").where("not (translation_id = 'DE00' and chapter = most and most > 1)"))
+
+
 @query("SELECT count(*) AS n FROM (SELECT DISTINCT book_id, chapter, verse FROM verses)")
 def f3_distinct_groups(spark, d):
     return table(spark, d, "verses", *COORDINATE).distinct().agg(F.count("*").alias("n"))
@@ -501,12 +571,16 @@ def k3_total(spark, d):
 
 
 @query(
-    fts_sql("documents", "doc_id, doc_type, lang, book_id", [_term("shekels")], "f0 > 0", ["true"], "SELECT doc_id, round(score, 6) AS score FROM hit WHERE doc_type = 'note' AND lang = 'en' ORDER BY round(score, 9) DESC, doc_id LIMIT 50")
-)
+    fts_sql(
+        "documents", "doc_id, doc_type, lang, book_id", [_term("shekels")], "f0 > 0", ["true"],
+        ", names AS (SELECT DISTINCT id AS bid, name AS book_name FROM books) SELECT doc_id, book_name, round(score, 6) AS score FROM hit JOIN bk ON bk.bid = book_id JOIN names ON names.bid = book_id WHERE doc_type = 'note' ORDER BY round(score, 9) DESC, canonical_order, doc_id LIMIT 50",
+    )
+)
 def k4_search_notes(spark, d):
+    """Hits of notes with the names of their books, by score and canonical order."""
     rows = table(spark, d, "documents", "doc_id", "doc_type", "lang", "book_id", "text").distinct()
-    found = textindex.scored(rows, "text", "shekels").rows.where("doc_type = 'note' and lang = 'en'")
-    return textindex.ranked(found, F.asc("doc_id"), limit=50).select("doc_id", F.round("score", 6).alias("score"))
+    found = textindex.scored(rows, "text", "shekels").rows.where("doc_type = 'note'").join(overlays.book_names(table(spark, d, "books")), "book_id")
+    return textindex.ranked(found, F.asc("canonical_order"), F.asc("doc_id"), limit=50).select("doc_id", "book_name", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH t AS (SELECT id, unnest({_tokens_sql()}) AS term FROM (SELECT DISTINCT id, text FROM verses)) SELECT term, count(*) AS occurrences, count(DISTINCT id) AS n_rows FROM t GROUP BY 1")

@@ -64,6 +64,12 @@ def _hidden(spark: SparkSession, directory: str, pattern: str, target: str) -> s
     return fs.makeQualified(where).toString() if len(found) else None
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path(source), path(target)):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def json_documents(spark: SparkSession, dirs: Sequence[str], schema: str, pattern: str = "*.json") -> DataFrame:
     """One row a file of the directories (I2), with ``dir_rank`` and ``path``. Unreadable JSON or a value of another type fails. Missing or
     empty directories have no rows. Files that Spark takes for hidden (``_x.json``) are read too. The files are parsed once: what is returned

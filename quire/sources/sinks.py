@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,20 @@ def write_json(df: DataFrame, folder: str, files: int | None = None) -> None:
     (df if files is None else df.coalesce(files)).write.mode("overwrite").option("ignoreNullFields", False).json(folder)
 
 
+def write_documents(lines: DataFrame, folder: str, key: str, order: Sequence[str], suffix: str = ".json") -> None:
+    """A file ``folder/<key><suffix>`` of each key, its ``line`` column in ``order``. A file is streamed by one task, never held; files
+    are named on the driver, one rename a file."""
+    spark = lines.sparkSession
+    parts = f"{folder}/_parts"
+    lines.repartition(key).sortWithinPartitions(key, *order).select(key, "line").write.mode("overwrite").partitionBy(key).text(parts)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(parts).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(path(f"{parts}/{key}=*/part-*")):
+        name = unquote(status.getPath().getParent().getName().split("=", 1)[1])
+        fs.rename(status.getPath(), path(f"{folder}/{name}{suffix}"))
+    fs.delete(path(parts), True)
+
+
 def with_etag(df: DataFrame, name: str = "etag") -> DataFrame:
     """Each row with the hash of its JSON."""
     from quire.functions.scalars import etag
