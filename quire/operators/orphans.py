@@ -2,14 +2,16 @@
 
 A reference is a *direct* orphan if no target row was in force when the reference came into force.
 Children of orphans are *inherited* orphans: targets were in force, but each of them is itself an
-orphan (direct or inherited). The cascade walks the foreign-key graph from parents to children; a graph
-without cycles reaches its fixpoint in one pass in topological order, a cycle is iterated until
-no reference changes.
+orphan (direct or inherited). Direct orphans are found first, for all keys. Then the cascade goes down the graph
+in rounds: the rows that became orphans in the last round are a frontier; a semi-join with it leaves the keys, another the references, whose
+verdict may change, and only those are judged again, against the targets that are no orphans. It ends with the first empty frontier.
+Every round but the last finds an orphan that was none before, so it ends on any graph, cycles included, without a limit.
 
 "In force at that time" is no range join here. Targets and references of a key are one time line; a
 target is in force at t exactly if the running maximum of the ends of all targets begun by t lies
-after t. The time line of a key is cut into days, and what earlier days hand on is pre-aggregated to one
-row per key and day, so a key with a third of all rows is spread over as many tasks as it has days.
+after t. A time line is cut into days, and what earlier days hand on is pre-aggregated to one
+row per key and day of targets. Where a key has more than ``CROWDED`` rows on a day, days are cut into hours, those into minutes and so on
+down to microseconds, each level handing on to the next, so that no task sees a key whole.
 """
 
 from __future__ import annotations
@@ -18,13 +20,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.session import cut
 
 START, END = -(2**63), 2**63 - 1
-DAY = 86_400_000_000
+#: Lengths of the pieces a time line is cut into, in microseconds: day, hour, minute, second, millisecond, microsecond.
+PIECES = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
+#: Rows of a key in one piece of its time line from which pieces are cut further.
+CROWDED = 250_000
 
 
 @dataclass(frozen=True)
@@ -51,95 +56,117 @@ class ForeignKey:
     def name(self) -> str:
         return f"{self.child}({','.join(self.columns)})->{self.parent}"
 
-
-def _micros(entity: Entity, column: str | None, default: int) -> Column:
-    return F.coalesce(F.unix_micros(F.col(column)), F.lit(default)) if column else F.lit(default)
-
-
-def _timeline(child: Entity, fk: ForeignKey, parent: Entity, bad: DataFrame | None) -> DataFrame:
-    """``(ref_id, at, in_force, sound)`` of each reference: was any target, any sound target in force."""
-    keys = [f"k{i}" for i in range(len(fk.columns))]
-    target = parent.rows.select(
-        F.col(parent.key).cast("string").alias("row_id"),
-        *(F.col(c).alias(k) for c, k in zip(fk.target, keys)),
-        _micros(parent, parent.start, START).alias("at"),
-        _micros(parent, parent.until, END).alias("until"),
-    ).dropna(subset=keys)
-    if bad is None:
-        target = target.withColumn("sound_until", F.col("until")).drop("row_id").distinct()
-    else:
-        target = target.join(bad.withColumn("is_bad", F.lit(True)), "row_id", "left")
-        target = target.withColumn("sound_until", F.when(F.col("is_bad").isNull(), F.col("until"))).drop("row_id", "is_bad").distinct()
-    reference = (
-        child.rows.select(F.col(child.key).cast("string").alias("ref_id"), *(F.col(c).alias(k) for c, k in zip(fk.columns, keys)), _micros(child, child.start, END - 1).alias("at"))
-        .dropna(subset=[*keys, "ref_id"])
-        .distinct()
-    )
-    nothing = F.lit(None).cast("long")
-    events = target.select(F.lit(None).cast("string").alias("ref_id"), *keys, "at", "until", "sound_until").unionByName(
-        reference.select("ref_id", *keys, "at", nothing.alias("until"), nothing.alias("sound_until"))
-    ).withColumn("day", F.floor(F.col("at") / DAY))
-    daily = events.groupBy(*keys, "day").agg(F.max("until").alias("until"), F.max("sound_until").alias("sound_until"))
-    earlier = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    handed = daily.select(F.lit(None).cast("string").alias("ref_id"), *keys, F.lit(START).alias("at"), F.max("until").over(earlier).alias("until"), F.max("sound_until").over(earlier).alias("sound_until"), "day").where("until is not null")
+    @property
+    def keys(self) -> list[str]:
+        return [f"k{i}" for i in range(len(self.columns))]
+
+
+def _micros(column: str | None, default: int) -> str:
+    return f"coalesce(unix_micros(`{column}`), {default}L)" if column else f"{default}L"
+
+
+_START, _END = f"({START + 1}L - 1L)", f"{END}L"
+
+
+class _Timeline:
+    """All foreign keys that name the same columns of one parent: they share the time lines of its rows."""
+
+    def __init__(self, table: dict[str, Entity], fks: Sequence[ForeignKey], numbers: Sequence[int]):
+        self.fks, self.parent, self.keys = dict(zip(numbers, fks)), fks[0].parent, fks[0].keys
+        parent = table[self.parent]
+        start = f"coalesce(unix_micros(`{parent.start}`), {_START})" if parent.start else _START
+        own = [f"`{c}` as {k}" for c, k in zip(fks[0].target, self.keys)]
+        #: ``(row_id, keys, at, until)`` of the rows that can be referred to.
+        self.targets = parent.rows.selectExpr(f"cast(`{parent.key}` as string) as row_id", *own, f"{start} as at", f"{_micros(parent.until, END)} as until").dropna(subset=self.keys)
+        sides = []
+        for number, fk in self.fks.items():
+            child = table[fk.child]
+            own = [f"`{c}` as {k}" for c, k in zip(fk.columns, self.keys)]
+            sides.append(child.rows.selectExpr(f"{number} as fk", f"cast(`{child.key}` as string) as ref_id", *own, f"{_micros(child.start, END - 1)} as at").dropna(subset=[*self.keys, "ref_id"]))
+        #: ``(fk, ref_id, keys, at)`` of the rows that refer to something.
+        self.references = reduce(DataFrame.unionByName, sides)
+        self.pieces: Sequence[int] = PIECES[:1]
+
+    def cut_finely(self, crowded: int) -> None:
+        """Finds the levels of pieces that leave no key with more than ``crowded`` rows in a piece: one count a level, of which one number comes to the driver."""
+        both = self.targets.select(*self.keys, "at").unionByName(self.references.select(*self.keys, "at"))
+        for level, length in enumerate(PIECES):
+            self.pieces = PIECES[: level + 1]
+            most = both.groupBy(*self.keys, F.expr(f"floor(at / {length})").alias("p")).count().agg(F.max("count")).first()[0]
+            if most is None or most <= crowded:
+                break
+
+
+def _not_in_force(targets: DataFrame, references: DataFrame, keys: list[str], pieces: Sequence[int]) -> DataFrame:
+    """The ``(fk, ref_id, at)`` for which no target was in force. Copies of rows are harmless on both sides."""
+    names = [f"p{i}" for i in range(len(pieces))]
+    piece = [f"floor(at / {length}L) as {name}" for length, name in zip(pieces, names)]
+    nobody = ["cast(null as int) as fk", "cast(null as string) as ref_id"]
+    starts = targets.selectExpr(*nobody, *keys, "at", "until", *piece)
+    events = starts.union(references.selectExpr("fk", "ref_id", *keys, "at", "cast(null as bigint) as until", *piece))
+    lines = events
+    for level in range(len(pieces)):
+        # what each piece hands on to the later ones within the piece above it
+        own = [*keys, *names[: level + 1]]
+        above = ", ".join(own[:-1])
+        passed = events.groupBy(*own).agg(F.max("until").alias("until"))
+        passed = passed.selectExpr(*own, f"max(until) over (partition by {above} order by {own[-1]} rows between unbounded preceding and 1 preceding) as until").where("until is not null")
+        if level + 1 < len(pieces):  # to all the last pieces in it that have rows: an equi-join with one row a piece
+            passed = events.select(*keys, *names).distinct().join(passed, own)
+        lines = lines.union(passed.selectExpr(*nobody, *keys, f"{_START} as at", "until", *names))
     # targets sort before references of the same instant
-    upto = Window.partitionBy(*keys, "day").orderBy("at", F.col("ref_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        events.unionByName(handed)
-        .select("ref_id", "at", F.max("until").over(upto).alias("until"), F.max("sound_until").over(upto).alias("sound_until"))
-        .where("ref_id is not null")
-        .select("ref_id", "at", F.coalesce(F.col("until") > F.col("at"), F.lit(False)).alias("in_force"), F.coalesce(F.col("sound_until") > F.col("at"), F.lit(False)).alias("sound"))
-    )
-
-
-def topological(fks: Sequence[ForeignKey]) -> list[str] | None:
-    """Tables, parents first; None if the graph has a cycle."""
-    names = dict.fromkeys(n for fk in fks for n in (fk.parent, fk.child))
-    order: list[str] = []
-    while names:
-        free = [n for n in names if not any(fk.child == n and fk.parent in names for fk in fks)]
-        if not free:
-            return None
-        order += free
-        names = {n: None for n in names if n not in free}
-    return order
-
-
-def orphan_cascade(entities: Sequence[Entity], fks: Sequence[ForeignKey], rounds: int = 50) -> DataFrame:
+    whole = ", ".join([*keys, *names])
+    judged = lines.selectExpr("fk", "ref_id", "at", f"max(until) over (partition by {whole} order by at, ref_id nulls first rows between unbounded preceding and current row) as until")
+    return judged.where("ref_id is not null and (until is null or until <= at)").select("fk", "ref_id", "at")
+
+
+def orphan_cascade(entities: Sequence[Entity], fks: Sequence[ForeignKey], crowded: int = CROWDED) -> DataFrame:
     """``(ref_table, ref_id, fk, period, kind)``: one row per orphan reference; ``kind`` is direct or inherited,
     ``period`` the month (UTC, ``yyyy-MM``) in which the reference came into force.
 
     Null in a foreign key refers to nothing: never an orphan. Keys are compared exactly as stored.
     Null times: a target without start was always there, a reference without start is checked at the end of
     time (``period`` null). Copies of rows count once; empty tables are fine: without targets every reference is direct.
+    The rounds run while the cascade is called; what they found is cut and returned.
     """
     table = {e.name: e for e in entities}
-    order = topological(fks)
-    if order is not None:
-        parts, bad = [], {}
-        for name in order:
-            own = [_judge(table, fk, bad.get(fk.parent)) for fk in fks if fk.child == name]
-            if own:
-                parts += own
-                bad[name] = reduce(DataFrame.unionByName, own).select(F.col("ref_id").alias("row_id")).distinct()
-        return reduce(DataFrame.unionByName, parts)
-    bad, seen = {}, -1
-    for _ in range(rounds):
-        found = cut(reduce(DataFrame.unionByName, (_judge(table, fk, bad.get(fk.parent)) for fk in fks)))
-        count = found.count()
-        if count == seen:
-            return found
-        seen = count
-        bad = {n: found.where(F.col("ref_table") == n).select(F.col("ref_id").alias("row_id")).distinct() for n in {fk.child for fk in fks}}
-    raise RuntimeError(f"no fixpoint after {rounds} rounds")
-
-
-def _judge(table: dict[str, Entity], fk: ForeignKey, bad: DataFrame | None) -> DataFrame:
-    judged = _timeline(table[fk.child], fk, table[fk.parent], bad)
-    month = F.when(F.col("at") < END - 1, F.date_format(F.timestamp_micros("at"), "yyyy-MM"))
-    return judged.where("not in_force or not sound").select(
-        F.lit(fk.child).alias("ref_table"), "ref_id", F.lit(fk.name).alias("fk"), month.alias("period"), F.when(~F.col("in_force"), "direct").otherwise("inherited").alias("kind")
-    )
+    groups: dict[tuple, list[int]] = {}
+    for number, fk in enumerate(fks):
+        groups.setdefault((fk.parent, fk.target), []).append(number)
+    lines = [_Timeline(table, [fks[i] for i in numbers], numbers) for numbers in groups.values()]
+    # a table's size tells whether its keys can be crowded at all
+    sizes = {r["name"]: r["n"] for r in reduce(DataFrame.union, (table[n].rows.agg(F.count("*").alias("n")).selectExpr(f"'{n}' as name", "n") for n in dict.fromkeys(n for fk in fks for n in (fk.parent, fk.child)))).collect()}
+    for line in lines:
+        if sum(sizes[n] for n in {line.parent, *(fk.child for fk in line.fks.values())}) > crowded:
+            line.cut_finely(crowded)
+    direct = [_not_in_force(line.targets, line.references, line.keys, line.pieces) for line in lines]
+    rounds = [cut(reduce(DataFrame.union, direct).distinct().withColumn("kind", F.lit("direct")))]
+    parents = {line.parent for line in lines}
+    of_table = {name: [i for i, fk in enumerate(fks) if fk.child == name] for name in parents}
+    while True:
+        # what became an orphan in the last round, though it was none before
+        reached = {r[0] for r in rounds[-1].select("fk").distinct().collect()}
+        found, inherited = reduce(DataFrame.union, rounds), []
+        for line in lines:
+            own = of_table[line.parent]
+            if not reached & {*own}:
+                continue
+            rows = lambda df: df.where(F.col("fk").isin(*own)).select(F.col("ref_id").alias("row_id"))  # noqa: E731, B023
+            new, known = rows(rounds[-1]), [rows(r) for r in rounds[:-1]]
+            if known:
+                new = new.join(reduce(DataFrame.union, known), "row_id", "left_anti")
+            touched = line.targets.join(new, "row_id", "left_semi").select(*line.keys).distinct()
+            sound = line.targets.join(touched, line.keys, "left_semi").join(rows(found), "row_id", "left_anti")
+            told = found.where(F.col("fk").isin(*line.fks)).select("fk", "ref_id")
+            asked = line.references.join(touched, line.keys, "left_semi").join(told, ["fk", "ref_id"], "left_anti").select("fk", "ref_id", *line.keys, "at")
+            inherited.append(_not_in_force(sound, asked, line.keys, line.pieces))
+        if not inherited:
+            break
+        rounds.append(cut(reduce(DataFrame.union, inherited).distinct().withColumn("kind", F.lit("inherited"))))
+    names = {i: (fk.child, fk.name) for i, fk in enumerate(fks)}
+    pick = lambda at: "case fk " + " ".join(f"when {i} then '{own[at]}'" for i, own in names.items()) + " end"
+    month = f"case when at < {END - 1}L then date_format(timestamp_micros(at), 'yyyy-MM') end as period"
+    return reduce(DataFrame.union, rounds).selectExpr(f"{pick(0)} as ref_table", "ref_id", f"{pick(1)} as fk", month, "kind")
 
 
 def orphan_report(cascade: DataFrame) -> DataFrame:

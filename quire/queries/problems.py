@@ -11,8 +11,8 @@ from quire.sources.tables import table
 COORDINATE = ("book_id", "chapter", "verse")
 
 
-def corpus_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """The foreign keys of the corpus, through the cascade."""
+def corpus_cascade(spark: SparkSession, d: str, keys: list[orphans.ForeignKey]) -> DataFrame:
+    """Foreign keys of the corpus, through the cascade."""
     read = lambda name, *columns: table(spark, d, name, *columns)
     entities = [
         orphans.Entity("books", read("books", "id", "loaded_at", "withdrawn_at"), start="loaded_at", until="withdrawn_at"),
@@ -23,7 +23,7 @@ def corpus_cascade(spark: SparkSession, d: str) -> DataFrame:
         orphans.Entity("place_verses", read("place_verses", "id", "place_id", *COORDINATE, "loaded_at"), start="loaded_at"),
         orphans.Entity("note_cross_references", read("note_cross_references", "id", "note_id", "to_book_id", "loaded_at"), start="loaded_at"),
     ]
-    return orphans.orphan_cascade(entities, CORPUS_KEYS)
+    return orphans.orphan_cascade(entities, keys)
 
 
 CORPUS_KEYS = [
@@ -39,12 +39,13 @@ FOUND_KEYS = [CORPUS_KEYS[i].name for i in (1, 2, 4)]
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    found = corpus_cascade(spark, d).where(F.col("fk").isin(FOUND_KEYS) & (F.col("kind") == "direct"))
+    """The direct orphans of the keys the problem names; verses without a book are in the cascade too, as their references inherit that."""
+    found = corpus_cascade(spark, d, [CORPUS_KEYS[i] for i in (0, 1, 2, 4)]).where(F.col("fk").isin(FOUND_KEYS) & (F.col("kind") == "direct"))
     return found.select("ref_table", F.col("ref_id").cast("long").alias("ref_id")).distinct()
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_report(corpus_cascade(spark, d))
+    return orphans.orphan_report(corpus_cascade(spark, d, CORPUS_KEYS))
 
 
 _FORCE = "v.loaded_at <= r.loaded_at AND (v.withdrawn_at IS NULL OR v.withdrawn_at > r.loaded_at)"

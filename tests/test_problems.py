@@ -42,13 +42,20 @@ def test_orphans_of_cycles_and_empty_tables(spark):
     assert orphans.orphan_cascade([orphans.Entity("n", nodes.limit(0)), empty], one).count() == 0
 
 
-def test_orphans_against_brute_force(spark):
+def test_a_long_chain_is_followed_to_its_end(spark):
+    nodes = spark.createDataFrame([(i, i - 1) for i in range(1, 7)] + [(20, 21), (21, 20)], "id long, up long")
+    got = orphans.orphan_cascade([orphans.Entity("n", nodes)], [orphans.ForeignKey("n", ("up",), "n", ("id",))]).collect()
+    assert {(r.ref_id, r.kind) for r in got} == {(str(i), "direct" if i == 1 else "inherited") for i in range(1, 7)}
+
+
+@pytest.mark.parametrize("crowded", [250_000, 2])
+def test_orphans_against_brute_force(spark, crowded):
     rng = random.Random(3)
     targets = [(i, rng.randint(0, 5), rng.randint(0, 40), rng.choice([None, rng.randint(0, 60)])) for i in range(60)]
     refs = [(i, rng.choice([None, *range(8)]), rng.randint(0, 60)) for i in range(200)]
     t = spark.createDataFrame([(i, k, day(a), day(b)) for i, k, a, b in targets], "id long, k int, a timestamp, b timestamp")
     r = spark.createDataFrame([(i, k, day(a)) for i, k, a in refs], "id long, k int, a timestamp")
-    got = {x.ref_id for x in orphans.orphan_cascade([orphans.Entity("t", t, start="a", until="b"), orphans.Entity("r", r, start="a")], [orphans.ForeignKey("r", ("k",), "t", ("k",))]).collect()}
+    got = {x.ref_id for x in orphans.orphan_cascade([orphans.Entity("t", t, start="a", until="b"), orphans.Entity("r", r, start="a")], [orphans.ForeignKey("r", ("k",), "t", ("k",))], crowded).collect()}
     want = {str(i) for i, k, at in refs if k is not None and not any(k2 == k and a <= at and (b is None or b > at) for _, k2, a, b in targets)}
     assert got == want
 
