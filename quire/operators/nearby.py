@@ -1,10 +1,13 @@
 """p7: points near other points or inside regions, by adaptive coverage with cells.
 
-The cells are cubes of side ``1 / n`` around the unit sphere, nested by halving: no poles and no date line.
+The cells are cubes around the unit sphere, nested by halving: no poles and no date line.
 A region (here a disk around a point) is covered from coarse to fine. A cell that lies wholly inside is
 *interior*: an equi-join with the points of that cell accepts them without any distance. A cell that the border crosses
-is split further while its coarse cell is crowded, and is a *boundary* cell in the end: only its matches get the exact
-test. Cells without any point are dropped before they are split.
+is split further as long as its coarse cell is crowded, and is a *boundary* cell in the end: only its matches get the exact
+test. Coarse cells without any point are dropped before they are split.
+
+Cells of all points of an Arrow batch are computed at once, in arrays. A pair is met once, from the point whose finest cell comes first (in an order in which cells of
+any level are contiguous; then by id): cells before the point's own are not covered at all.
 """
 
 from __future__ import annotations
@@ -20,19 +23,19 @@ from pyspark.sql import functions as F
 from quire.session import parallelism
 
 EARTH_KM = 6371.0088
-#: Points in a coarse cell from which it is split one, two, three times.
-CROWDED = (32, 256, 4096)
+#: Points in a coarse cell from which it is split; each halving makes twice as many cells of a border and saves half of its tests, so a cell of
+#: ``CROWDED * 4 ** d`` points is halved ``d`` times. ``FINEST``: a bound of the halvings that the numbers can express.
+CROWDED, FINEST = 16, 20
 #: Slack of interior and outside decisions, far above rounding, far below any distance of interest.
 SLACK = 1e-11
 
 
 def usable_points(df: DataFrame, key: str, latitude: str, longitude: str) -> DataFrame:
-    """``(id, lat, lon, x, y, z)``: distinct places with both numbers given, no NaN, within range and not both exactly 0."""
+    """``(id, lat, lon)``: distinct places with both numbers given, no NaN, within range and not both exactly 0."""
     lat, lon = F.col("lat"), F.col("lon")
     fine = lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0) & ~F.isnan(lat) & ~F.isnan(lon) & ~((lat == 0) & (lon == 0))
     points = df.select(F.col(key).alias("id"), F.col(latitude).cast("double").alias("lat"), F.col(longitude).cast("double").alias("lon")).where(fine & F.col("id").isNotNull()).distinct()
-    a, o = F.radians("lat"), F.radians("lon")
-    return points.select("id", "lat", "lon", (F.cos(a) * F.cos(o)).alias("x"), (F.cos(a) * F.sin(o)).alias("y"), F.sin(a).alias("z"))
+    return points
 
 
 def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_KM) -> Column:
@@ -42,8 +45,42 @@ def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     return F.lit(2.0 * radius) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
-def _cell(side: float) -> list[Column]:
-    return [F.floor((F.col(c) + 1.0) / side).cast("int").alias(f"i{c}") for c in "xyz"]
+def _coarse(xyz: np.ndarray, side: float) -> np.ndarray:
+    return np.floor((xyz + 1.0) / side).astype(np.int64)
+
+
+def _number(cell: np.ndarray, width: int) -> np.ndarray:
+    """Coarse cells as numbers, in the order of their coordinates."""
+    return (cell[..., 0] * width + cell[..., 1]) * width + cell[..., 2]
+
+
+def _bounds(low: np.ndarray, size: np.ndarray, xyz: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of cells (lowest corner, side) and points: does the cell touch both disk and sphere, does it lie wholly inside the disk."""
+    high = low + size[..., None]
+    far = np.sqrt((np.maximum(np.abs(xyz - low), np.abs(xyz - high)) ** 2).sum(-1))
+    near = np.sqrt((np.maximum(np.maximum(low - xyz, xyz - high), 0.0) ** 2).sum(-1))
+    origin_far = (np.maximum(np.abs(low), np.abs(high)) ** 2).sum(-1)
+    origin_near = (np.maximum(np.maximum(low, -high), 0.0) ** 2).sum(-1)
+    return (near <= reach + SLACK) & (origin_far >= 1.0 - 1e-9) & (origin_near <= 1.0 + 1e-9), far <= reach - SLACK
+
+
+_AROUND = np.array([(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])[13:]  # the own cell and those after it
+_EIGHTH = np.array([(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)])
+
+
+def _xyz(batch: pa.RecordBatch) -> np.ndarray:
+    lat, lon = np.radians(batch.column("lat").to_numpy()), np.radians(batch.column("lon").to_numpy())
+    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], 1)
+
+
+def _fine(xyz: np.ndarray, cell: np.ndarray, side: float, depth: int) -> np.ndarray:
+    """The number of the eighth of an eighth ... of its coarse cell that a point lies in, ``depth`` times. Halving keeps cells nested: floor(2 v) // 2 == floor(v)."""
+    at = np.floor((xyz + 1.0) / side * 2.0**depth).astype(np.int64) - (cell << depth)
+    out = np.zeros(len(xyz), np.int64)
+    for level in range(depth - 1, -1, -1):
+        bit = (at >> level) & 1
+        out = (out << 3) | (bit[:, 0] << 2) | (bit[:, 1] << 1) | bit[:, 2]
+    return out
 
 
 def near_pairs(points: DataFrame, km: float, radius: float = EARTH_KM) -> DataFrame:
@@ -54,57 +91,92 @@ def near_pairs(points: DataFrame, km: float, radius: float = EARTH_KM) -> DataFr
     """
     reach = 2.0 * math.sin(min(km / radius, math.pi) / 2.0)  # as a chord
     side = max(reach, 1e-6)
-    levels = len(CROWDED)
-    # a few bytes a point, but many cells and tests each: spread by number, not by size
-    points = points.repartition(parallelism(points.sparkSession), "id")
-    coarse = points.select("id", "lat", "lon", "x", "y", "z", *_cell(side))
-    size = coarse.groupBy("ix", "iy", "iz").count()
-    split = sum((F.when(F.col("count") >= limit, 1).otherwise(0) for limit in CROWDED), F.lit(0))
-    occupied = size.select("ix", "iy", "iz", split.alias("depth"))
-
-    # the coarse cells around each point that hold points
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    cover = coarse.select("id", "lat", "lon", "x", "y", "z", "ix", "iy", "iz", F.explode(around).alias("o")).select(
-        "id", "lat", "lon", "x", "y", "z", (F.col("ix") + F.col("o.i")).alias("ix"), (F.col("iy") + F.col("o.j")).alias("iy"), (F.col("iz") + F.col("o.k")).alias("iz"), F.lit(0).alias("level")
-    )
-    cover = _judged(cover, side, reach).join(occupied, ["ix", "iy", "iz"])
-    eighth = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (0, 1) for j in (0, 1) for k in (0, 1)))
-    whole = F.array(F.struct(*(F.lit(None).cast("int").alias(n) for n in "ijk")))
-    for level in range(1, levels + 1):
-        deeper = (F.col("level") == level - 1) & ~F.col("interior") & (F.col("depth") >= level)
-        cover = cover.withColumn("o", F.explode(F.when(deeper, eighth).otherwise(whole)))
-        moved = F.col("o.i").isNotNull()
-        cover = cover.select(
-            "id", "lat", "lon", "x", "y", "z", "depth", "interior",
-            *(F.when(moved, F.col(f"i{c}") * 2 + F.col(f"o.{n}")).otherwise(F.col(f"i{c}")).alias(f"i{c}") for c, n in zip("xyz", "ijk")),
-            F.when(moved, level).otherwise(F.col("level")).alias("level"),
-        )
-        cover = _judged(cover, side, reach, level)
-    left = cover.select(F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), "level", "ix", "iy", "iz", "interior")
+    width = int(2.0 / side) + 4
+    kind = dict(points.dtypes)["id"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("cell", pa.array(_number(_coarse(_xyz(batch), side), width)))
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xyz = _xyz(batch)
+            cells = _coarse(xyz, side)[:, None, :] + _AROUND
+            touches, _ = _bounds(cells * side - 1.0, np.full(cells.shape[:2], side), xyz[:, None, :], reach)
+            at, which = np.nonzero(touches)
+            yield batch.take(pa.array(at)).append_column("into", pa.array(_number(cells[at, which], width)))
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each (point, coarse cell) as cells of any level: ``level`` and ``sub``, its number within the coarse cell; ``own``: the point lies in it."""
+        for whole in batches:
+            for s in range(0, whole.num_rows, 2048):  # a crowded cell has many parts: few points at a time
+                batch = whole.slice(s, 2048)
+                xyz, depth, into = _xyz(batch), batch.column("depth").to_numpy(), batch.column("into").to_numpy()
+                cell = np.stack([into // width // width, into // width % width, into % width], 1)
+                home = into == batch.column("cell").to_numpy()
+                own_cell = _coarse(xyz, side)
+                row, at, sub, level = np.arange(len(xyz)), cell, np.zeros(len(xyz), np.int64), 0
+                while len(row):
+                    size = side / 2.0**level
+                    touches, inside = _bounds(at * size - 1.0, np.full(len(row), size), xyz[row], reach)
+                    own = np.zeros(len(row), bool)
+                    for d in np.unique(depth[row]):
+                        same = (depth[row] == d) & home[row]
+                        if same.any() and level <= d:
+                            mine = _fine(xyz[row[same]], own_cell[row[same]], side, level)
+                            own[same] = sub[same] == mine
+                            touches[same] &= sub[same] >= mine  # cells before the own one meet this point from their side
+                    row, at, sub, inside, own = row[touches], at[touches], sub[touches], inside[touches], own[touches]
+                    done = inside | (depth[row] <= level)
+                    if done.any():
+                        out = batch.take(pa.array(row[done])).select(["id", "lat", "lon", "fine"])
+                        for name, value in (("into", into[row[done]]), ("level", np.full(done.sum(), level, np.int32)), ("sub", sub[done]), ("interior", inside[done]), ("own", own[done])):
+                            out = out.append_column(name, pa.array(value))
+                        yield out
+                    row, at, sub = row[~done], at[~done], sub[~done]
+                    row, sub = np.repeat(row, 8), np.repeat(sub, 8) * 8 + np.tile(np.arange(8), len(sub))
+                    at = (2 * at[:, None, :] + _EIGHTH).reshape(-1, 3)
+                    level += 1
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds ``fine``, the number of the finest cell of a point within its coarse cell."""
+        for batch in batches:
+            xyz, depth = _xyz(batch), batch.column("depth").to_numpy()
+            cell, out = _coarse(xyz, side), np.zeros(len(xyz), np.int64)
+            for d in np.unique(depth):
+                own = depth == d
+                out[own] = _fine(xyz[own], cell[own], side, int(d))
+            yield batch.append_column("fine", pa.array(out))
+
+    # a few bytes a point, but many cells and tests each: spread by number, not by size
+    points = points.select("id", "lat", "lon").repartition(parallelism(points.sparkSession), "id").distinct()
+    point = f"id {kind}, lat double, lon double, cell long"
+    placed = points.mapInArrow(place, point)
+    depth = f"least({FINEST}, greatest(0, cast(ceil(log2(n / {CROWDED}d) / 2) as int)))"
+    occupied = placed.groupBy("cell").agg(F.count("*").alias("n")).selectExpr("cell", f"{depth} as depth")
+    held = placed.join(occupied, "cell").select("id", "lat", "lon", "cell", "depth").mapInArrow(number, f"{point}, depth int, fine long")
+    # what lies in an occupied cell is covered to that cell's depth; a point's own number only counts in its own cell
+    left = held.select("id", "lat", "lon", "cell", "fine").mapInArrow(cover, f"{point}, fine long, into long")
+    left = left.join(occupied.withColumnRenamed("cell", "into"), "into").select("id", "lat", "lon", "cell", "fine", "into", "depth")
+    left = left.mapInArrow(refine, f"id {kind}, lat double, lon double, fine long, into long, level int, sub long, interior boolean, own boolean")
+    left = left.selectExpr("id as id_a", "lat as lat_a", "lon as lon_a", "fine as fine_a", "into as cell", "level", "sub", "interior", "own")
     # a point is found under its cell of every level down to the depth of its coarse cell
-    held = coarse.join(occupied, ["ix", "iy", "iz"]).select("id", "lat", "lon", "x", "y", "z", "depth", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("level"))
-    # halving keeps cells nested: floor(2 v) // 2 == floor(v)
-    right = held.select(F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), "level", *(F.floor((F.col(c) + 1.0) / side * F.pow(F.lit(2.0), F.col("level"))).cast("int").alias(f"i{c}") for c in "xyz"))
+    right = held.selectExpr("id as id_b", "lat as lat_b", "lon as lon_b", "fine as fine_b", "cell", "depth", "explode(sequence(0, depth)) as level")
+    right = right.selectExpr("id_b", "lat_b", "lon_b", "fine_b", "cell", "level", "shiftright(fine_b, 3 * (depth - level)) as sub")
     near = great_circle(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"), radius) <= km
-    return left.join(right, ["level", "ix", "iy", "iz"]).where((F.col("id_a") < F.col("id_b")) & (F.col("interior") | near)).select("id_a", "id_b").distinct()
-
-
-def _judged(cover: DataFrame, side: float, reach: float, level: int | None = None) -> DataFrame:
-    """Drops cells wholly outside the point's disk or off the sphere; ``interior``: wholly inside. With ``level``, only
-    cells of that level are judged."""
-    size = F.lit(side) / F.pow(F.lit(2.0), F.col("level"))
-    low = {c: F.col(f"i{c}") * size - 1.0 for c in "xyz"}
-    far = sum((F.pow(F.greatest(F.abs(F.col(c) - low[c]), F.abs(F.col(c) - low[c] - size)), 2) for c in "xyz"), F.lit(0.0))
-    nearest = sum((F.pow(F.greatest(low[c] - F.col(c), F.col(c) - low[c] - size, F.lit(0.0)), 2) for c in "xyz"), F.lit(0.0))
-    origin_far = sum((F.pow(F.greatest(F.abs(low[c]), F.abs(low[c] + size)), 2) for c in "xyz"), F.lit(0.0))
-    origin_near = sum((F.pow(F.greatest(low[c], -(low[c] + size), F.lit(0.0)), 2) for c in "xyz"), F.lit(0.0))
-    inside = F.sqrt(far) <= reach - SLACK
-    touches = (F.sqrt(nearest) <= reach + SLACK) & (origin_far >= 1.0 - 1e-9) & (origin_near <= 1.0 + 1e-9)
-    if level is None:
-        return cover.where(touches).withColumn("interior", inside)
-    now = F.col("level") == level
-    return cover.where(~now | touches).withColumn("interior", F.when(now, inside).otherwise(F.col("interior")))
+    later = "not own or fine_b > fine_a or (fine_b = fine_a and id_b > id_a)"
+    met = left.join(right, ["cell", "level", "sub"]).where(F.expr(later) & (F.col("interior") | near)).selectExpr("least(id_a, id_b) as id_a", "greatest(id_a, id_b) as id_b")
+    return _once(met, points)
+
+
+def _once(met: DataFrame, points: DataFrame) -> DataFrame:
+    """Each pair once: only ids with several positions come more than once, so only their pairs are compared."""
+    several = points.groupBy("id").count().where("count > 1").select("id")
+    if several.isEmpty():
+        return met
+    marked = met.join(several.selectExpr("id as id_a", "true as a"), "id_a", "left").join(several.selectExpr("id as id_b", "true as b"), "id_b", "left")
+    alone = marked.where("a is null and b is null").select("id_a", "id_b")
+    return alone.union(marked.where("(a or b) and id_a <> id_b").select("id_a", "id_b").distinct())
 
 
 # -- regions ------------------------------------------------------------------

@@ -13,16 +13,20 @@ COORDINATE = ("book_id", "chapter", "verse")
 
 def corpus_cascade(spark: SparkSession, d: str, keys: list[orphans.ForeignKey]) -> DataFrame:
     """Foreign keys of the corpus, through the cascade."""
-    read = lambda name, *columns: table(spark, d, name, *columns)
-    entities = [
-        orphans.Entity("books", read("books", "id", "loaded_at", "withdrawn_at"), start="loaded_at", until="withdrawn_at"),
-        orphans.Entity("verses", read("verses", "id", *COORDINATE, "loaded_at", "withdrawn_at"), start="loaded_at", until="withdrawn_at"),
-        orphans.Entity("places", read("places", "id")),
-        orphans.Entity("documents", read("documents", "doc_id", "loaded_at"), key="doc_id", start="loaded_at"),
-        orphans.Entity("cross_references", read("cross_references", "id", "to_book_id", "to_chapter", "to_verse_start", "loaded_at"), start="loaded_at"),
-        orphans.Entity("place_verses", read("place_verses", "id", "place_id", *COORDINATE, "loaded_at"), start="loaded_at"),
-        orphans.Entity("note_cross_references", read("note_cross_references", "id", "note_id", "to_book_id", "loaded_at"), start="loaded_at"),
-    ]
+    whole = {"start": "loaded_at", "until": "withdrawn_at"}
+    columns = {
+        "books": ("id", "loaded_at", "withdrawn_at"),
+        "verses": ("id", *COORDINATE, "loaded_at", "withdrawn_at"),
+        "places": ("id",),
+        "documents": ("doc_id", "loaded_at"),
+        "cross_references": ("id", "to_book_id", "to_chapter", "to_verse_start", "loaded_at"),
+        "place_verses": ("id", "place_id", *COORDINATE, "loaded_at"),
+        "note_cross_references": ("id", "note_id", "to_book_id", "loaded_at"),
+    }
+    entities = []
+    for name in dict.fromkeys(n for key in keys for n in (key.parent, key.child)):
+        times = {k: v for k, v in whole.items() if v in columns[name]}
+        entities.append(orphans.Entity(name, table(spark, d, name, *columns[name]), key=columns[name][0], **times))
     return orphans.orphan_cascade(entities, keys)
 
 
