@@ -180,15 +180,15 @@ def _once(met: DataFrame, points: DataFrame) -> DataFrame:
 
 
 # -- regions ------------------------------------------------------------------
-def cover_polygon(ring: Sequence[tuple[float, float]], depth: int = 10, budget: int = 4096) -> list[tuple[int, int, int, bool]]:
+def cover_polygon(ring: Sequence[tuple[float, float]], depth: int = 10, budget: int = 4096, step: int = 2) -> list[tuple[int, int, int, bool]]:
     """Cells ``(level, row, column, interior)`` of a latitude/longitude quadtree that cover a polygon given by its
-    ``(lat, lon)`` corners: interior cells wholly inside, boundary cells crossed by an edge. Splitting stops at
-    ``depth`` or when ``budget`` cells are reached (then cells stay coarser; the cover stays complete)."""
+    ``(lat, lon)`` corners: interior cells wholly inside, boundary cells crossed by an edge. Only every ``step``-th level has cells, so that points need
+    fewer numbers. Splitting stops at ``depth`` or when ``budget`` cells are reached (then cells stay coarser; the cover stays complete)."""
     ring = list(ring)
     if len(ring) < 3:
         return []
     edges = np.array([[*ring[i], *ring[(i + 1) % len(ring)]] for i in range(len(ring))], float)
-    done, queue = [], [(0, 0, 0)]
+    done, queue, parts = [], [(0, 0, 0)], 2**step
     while queue:
         level, row, column = queue.pop(0)
         size = 360.0 / 2**level
@@ -197,10 +197,10 @@ def cover_polygon(ring: Sequence[tuple[float, float]], depth: int = 10, budget:
         if not crossed:
             if contains(ring, np.array([south + size / 2]), np.array([west + size / 2]))[0]:
                 done.append((level, row, column, True))
-        elif level >= depth or len(done) + len(queue) >= budget:
+        elif level + step > depth or len(done) + len(queue) >= budget:
             done.append((level, row, column, False))
         else:
-            queue += [(level + 1, 2 * row + i, 2 * column + j) for i in (0, 1) for j in (0, 1)]
+            queue += [(level + step, parts * row + i, parts * column + j) for i in range(parts) for j in range(parts)]
     return done
 
 
@@ -221,8 +221,13 @@ def _crosses(edges: np.ndarray, south: float, west: float, size: float) -> bool:
 
 def contains(ring: Sequence[tuple[float, float]], lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     """Even-odd containment of points; points on an edge count as inside."""
-    y1, x1 = np.array(ring, float).T
-    y2, x2 = np.roll(y1, -1), np.roll(x1, -1)
+    corners = np.array(ring, float)
+    return _within(np.hstack([corners, np.roll(corners, -1, 0)]), lat, lon)
+
+
+def _within(edges: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """The same for edges ``(lat1, lon1, lat2, lon2)``: those that reach none of the latitudes may be left out."""
+    y1, x1, y2, x2 = edges.T
     py, px = lat[:, None], lon[:, None]
     above = (y1 > py) != (y2 > py)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -236,33 +241,44 @@ def contains(ring: Sequence[tuple[float, float]], lat: np.ndarray, lon: np.ndarr
 def points_in_regions(points: DataFrame, regions: DataFrame, depth: int = 10) -> DataFrame:
     """``(id, region_id)``: points of :func:`usable_points` inside the polygons of ``regions(region_id, ring)``, ``ring`` an
     array of ``struct<lat,lon>`` that does not cross the date line. Null, NaN or short rings contain nothing. Interior cells
-    accept through the join alone; only matches of boundary cells carry the ring to the exact test."""
+    accept through the join alone. A boundary cell carries the edges that reach its latitudes, which is all that the exact test of
+    its points needs; the points of a cell are tested together. A region id with several rings is their union."""
 
     def covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for region, ring in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                corners = [(c["lat"], c["lon"]) for c in ring or [] if c and c["lat"] is not None and c["lon"] is not None]
-                if len(corners) < 3 or not np.isfinite(np.array(corners)).all():
+            for region, ring in zip(batch.column(0), batch.column(1).to_pylist()):
+                corners = np.array([(c["lat"], c["lon"]) for c in ring or [] if c and c["lat"] is not None and c["lon"] is not None])
+                if len(corners) < 3 or not np.isfinite(corners).all():
                     continue
-                for level, row, column, interior in cover_polygon(corners, depth):
-                    for at, value in enumerate((region, level, row, column, interior, None if interior else ring)):
-                        out[at].append(value)
-            yield pa.record_batch([pa.array(v, t) for v, t in zip(out, (batch.schema.types[0], pa.int32(), pa.int32(), pa.int32(), pa.bool_(), batch.schema.types[1]))], names=["region_id", "level", "row", "column", "interior", "ring"])
-
-    kind = dict(regions.dtypes)
-    cells = regions.select("region_id", F.col("ring").cast("array<struct<lat:double,lon:double>>").alias("ring")).mapInArrow(covers, f"region_id {kind['region_id']}, level int, row int, column int, interior boolean, ring array<struct<lat:double,lon:double>>")
-    size = F.lit(360.0) / F.pow(F.lit(2.0), F.col("level"))
-    at = points.select("id", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")).withColumns({"row": F.floor((F.col("lat") + 180) / size).cast("int"), "column": F.least(F.floor((F.col("lon") + 180) / size).cast("int"), (F.pow(F.lit(2.0), F.col("level")) - 1).cast("int"))})
+                edges = np.hstack([corners, np.roll(corners, -1, 0)])
+                low, high = np.minimum(edges[:, 0], edges[:, 2]), np.maximum(edges[:, 0], edges[:, 2])
+                cells = cover_polygon(corners.tolist(), depth)
+                bands = []
+                for level, row, _, interior in cells:
+                    south, size = -180.0 + row * 360.0 / 2**level, 360.0 / 2**level
+                    bands.append(None if interior else edges[(high >= south) & (low <= south + size)].ravel())
+                columns = list(zip(*cells)) or [()] * 4
+                arrays = [pa.array(columns[i], pa.int32()) for i in range(3)]
+                yield pa.record_batch([pa.array([region.as_py()] * len(cells), batch.schema.types[0]), *arrays, pa.array(columns[3], pa.bool_()), pa.array(bands, pa.list_(pa.float64()))], names=["region_id", "level", "row", "column", "interior", "edges"])
+
+    kind = dict(regions.dtypes)["region_id"]
+    shaped = regions.select("region_id", F.col("ring").cast("array<struct<lat:double,lon:double>>").alias("ring"))
+    cells = shaped.repartition(parallelism(points.sparkSession)).mapInArrow(covers, f"region_id {kind}, level int, row int, column int, interior boolean, edges array<double>")
+    size = "(360d / pow(2d, level))"
+    at = points.selectExpr("id", "lat", "lon", f"explode(sequence(0, {depth}, 2)) as level").selectExpr("*", f"cast(floor((lat + 180) / {size}) as int) as row", f"least(cast(floor((lon + 180) / {size}) as int), cast(pow(2d, level) as int) - 1) as column")
     met = at.join(cells, ["level", "row", "column"])
-    sure = met.where("interior").select("id", "region_id")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lat, lon = batch.column("lat").to_numpy(), batch.column("lon").to_numpy()
-            keep = [bool(contains([(c["lat"], c["lon"]) for c in ring], lat[i : i + 1], lon[i : i + 1])[0]) for i, ring in enumerate(batch.column("ring").to_pylist())]
-            yield batch.select(["id", "region_id"]).filter(pa.array(keep, pa.bool_()))
-
-    maybe = met.where("not interior").select("id", "region_id", "lat", "lon", "ring")
-    tested = maybe.mapInArrow(exact, f"id {dict(points.dtypes)['id']}, region_id {kind['region_id']}")
-    return sure.union(tested).distinct()
+            keep = batch.column("interior").to_numpy(zero_copy_only=False).copy()
+            open_ = np.flatnonzero(~keep)
+            cell = batch.column("cell").to_numpy()
+            edges = batch.column("edges")
+            for number in np.unique(cell[open_]):
+                own = open_[cell[open_] == number]
+                keep[own] = _within(edges[int(own[0])].values.to_numpy().reshape(-1, 4), lat[own], lon[own])
+            yield batch.select(["id", "region_id"]).filter(pa.array(keep))
+
+    tested = met.selectExpr("id", "region_id", "lat", "lon", "interior", "edges", "xxhash64(region_id, level, row, column, edges) as cell").mapInArrow(exact, f"id {dict(points.dtypes)['id']}, region_id {kind}")
+    return tested.distinct()

@@ -11,12 +11,13 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import parallelism
+from quire.session import parallelism, staged
 
 _TOKEN = re.compile(r'[ \t\n\r]*([{}\[\]:,]|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)')
 
@@ -197,13 +198,32 @@ def bridge(nodes: DataFrame) -> DataFrame:
     return nodes.drop("body")
 
 
-def records(nodes: DataFrame, parent: str, child: str) -> DataFrame:
-    """``(key, parent_pos, child_pos, hash, body)``: the records of entity ``child`` within those of entity ``parent``,
-    their bodies fetched from the objects through the bridge. The bridge side is the one with hot hashes (a record
-    that occurs everywhere); the objects have one row a hash, so a skewed partition can be split."""
-    links = bridge(nodes).where((F.col("field") == child) & F.col("ordinal").isNotNull() & (F.col("parent_field") == parent))
-    wanted = nodes.where((F.col("field") == child) & F.col("ordinal").isNotNull() & (F.col("parent_field") == parent))
-    return links.join(objects(wanted), "hash").select("key", F.col("parent_ordinal").alias("parent_pos"), F.col("ordinal").alias("child_pos"), "hash", "body")
+@dataclass(frozen=True)
+class Shredded:
+    """The two tables of shredded payloads: ``objects(hash, body)``, each object once, and ``bridge``, a row an occurrence."""
+
+    objects: DataFrame
+    bridge: DataFrame
+
+    def records(self, parent: str, child: str) -> DataFrame:
+        """``(key, parent_pos, child_pos, hash, body)``: the records of entity ``child`` within those of entity ``parent``,
+        their bodies fetched from the objects through the bridge. The bridge side is the one with hot hashes (a record
+        that occurs everywhere); the objects have one row a hash, so a skewed partition can be split."""
+        links = self.bridge.where((F.col("field") == child) & F.col("ordinal").isNotNull() & (F.col("parent_field") == parent))
+        return links.join(self.objects, "hash").select("key", F.col("parent_ordinal").alias("parent_pos"), F.col("ordinal").alias("child_pos"), "hash", "body")
+
+    def write(self, folder: str) -> None:
+        """Both tables as ``folder/objects.parquet`` and ``folder/bridge.parquet``, objects clustered by hash."""
+        from quire.sources.sinks import write_table
+
+        write_table(self.objects, folder, "objects", cluster=["hash"])
+        write_table(self.bridge, folder, "bridge", cluster=["hash"])
+
+
+def stored(nodes: DataFrame) -> Shredded:
+    """The tables of :func:`shredded` rows, which are made once: they are staged, columns apart, and both tables read them."""
+    own = staged(nodes)
+    return Shredded(objects(own), bridge(own))
 
 
 def value_of(body: str, name: str):

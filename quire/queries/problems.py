@@ -86,22 +86,27 @@ SELECT ref_table, fk, strftime(ts AT TIME ZONE 'UTC', '%Y-%m') AS period, count_
 """
 
 
-def _raw(spark: SparkSession, d: str, name: str, parent: str, child: str, value: str) -> DataFrame:
-    nodes = shred.shredded(table(spark, d, name, "raw_id", "payload"), "raw_id", "payload", (parent, child))
-    found = shred.records(nodes, parent, child)
-    return found.select(F.lit(name).alias("raw_table"), F.col("key").alias("raw_id"), "parent_pos", "child_pos", shred.value_of("body", value).alias("value")).distinct()
+def _nodes(spark: SparkSession, d: str, name: str, parent: str, child: str) -> DataFrame:
+    return shred.shredded(table(spark, d, name, "raw_id", "payload"), "raw_id", "payload", (parent, child))
+
+
+#: Raw tables with the entities in them and the value asked for.
+RAW = (("raw_journeys", "journeys", "stops", "place_id"), ("raw_notes", "notes", "cross_references", "book"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _raw(spark, d, "raw_journeys", "journeys", "stops", "place_id").unionByName(_raw(spark, d, "raw_notes", "notes", "cross_references", "book"))
+    parts = []
+    for name, parent, child, value in RAW:
+        found = shred.stored(_nodes(spark, d, name, parent, child)).records(parent, child)
+        parts.append(found.select(F.lit(name).alias("raw_table"), F.col("key").alias("raw_id"), "parent_pos", "child_pos", shred.value_of("body", value).alias("value")).distinct())
+    return parts[0].unionByName(parts[1])
 
 
 def p3_objects(spark: SparkSession, d: str) -> DataFrame:
     """How often each distinct stop or note reference occurs: objects stored once against bridge rows."""
     parts = []
-    for name, parent, child in (("raw_journeys", "journeys", "stops"), ("raw_notes", "notes", "cross_references")):
-        nodes = shred.shredded(table(spark, d, name, "raw_id", "payload"), "raw_id", "payload", (parent, child))
-        links = shred.bridge(nodes).where((F.col("field") == child) & F.col("ordinal").isNotNull())
+    for name, parent, child, _ in RAW:
+        links = _nodes(spark, d, name, parent, child).drop("body").where((F.col("field") == child) & F.col("ordinal").isNotNull())
         parts.append(links.groupBy("hash").agg(F.count("*").alias("occurrences"), F.countDistinct("key").alias("files")).select(F.lit(name).alias("raw_table"), "hash", "occurrences", "files"))
     return parts[0].unionByName(parts[1])
 
@@ -121,5 +126,26 @@ SELECT DISTINCT a.id AS place_id_a, b.id AS place_id_b FROM p a JOIN p b ON a.id
 WHERE 2 * {nearby.EARTH_KM} * asin(sqrt(least(1.0, power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) <= {KM}
 """
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_objects": p3_objects, "p7_found": p7_found}
-SQL = {"p2_found": _P2, "p2_report": _P2_REPORT, "p7_found": _P7}
+#: Half the diagonals of the regions, in degrees: a rhombus around each place that is a region.
+HALF_LAT, HALF_LON = 0.5, 0.75
+
+
+def p7_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The usable places inside each region, a polygon of four corners around every usable place of the type region."""
+    places = table(spark, d, "places", "id", "latitude", "longitude", "type")
+    points = nearby.usable_points(places, "id", "latitude", "longitude")
+    centres = nearby.usable_points(places.where("type = 'region'"), "id", "latitude", "longitude").where(f"abs(lat) <= 89 and abs(lon) <= {180 - HALF_LON}")
+    corner = lambda i, j: F.struct((F.col("lat") + i * HALF_LAT).alias("lat"), (F.col("lon") + j * HALF_LON).alias("lon"))
+    regions = centres.select(F.col("id").alias("region_id"), F.array(corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1)).alias("ring"))
+    return nearby.points_in_regions(points, regions).select(F.col("id").alias("place_id"), "region_id")
+
+
+_P7_REGIONS = f"""
+WITH p AS (SELECT DISTINCT id, type, latitude AS lat, longitude AS lon FROM places WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180
+  AND NOT isnan(latitude) AND NOT isnan(longitude) AND NOT (latitude = 0 AND longitude = 0))
+SELECT DISTINCT p.id AS place_id, r.id AS region_id FROM p JOIN p r ON r.type = 'region' AND abs(r.lat) <= 89 AND abs(r.lon) <= {180 - HALF_LON} AND p.lat BETWEEN r.lat - 1 AND r.lat + 1
+WHERE abs(p.lat - r.lat) / {HALF_LAT} + abs(p.lon - r.lon) / {HALF_LON} <= 1
+"""
+
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_objects": p3_objects, "p7_found": p7_found, "p7_regions": p7_regions}
+SQL = {"p2_found": _P2, "p2_report": _P2_REPORT, "p7_found": _P7, "p7_regions": _P7_REGIONS}

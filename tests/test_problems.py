@@ -86,14 +86,14 @@ def test_shredding(spark):
     payloads = [(1, json.dumps(PAYLOAD)), (1, json.dumps(PAYLOAD)), (2, None), (3, "broken {"), (4, json.dumps({"js": json.dumps(PAYLOAD["data"]["js"][0])})), (None, '{"js": {"ss": {"p": "\\ud800"}}}'), (5, "")]
     df = spark.createDataFrame([(k, p, "extra") for k, p in payloads], "raw long, body string, hash string")
     nodes = shred.shredded(df, "raw", "body", ("js", "ss")).cache()
-    got = sorted((tuple(r) for r in shred.records(nodes, "js", "ss").select("key", "parent_pos", "child_pos", shred.value_of("body", "p").alias("v")).collect()), key=repr)
+    got = sorted((tuple(r) for r in shred.stored(nodes).records("js", "ss").select("key", "parent_pos", "child_pos", shred.value_of("body", "p").alias("v")).collect()), key=repr)
     first = [(1, 0, 0, "a"), (1, 0, 2, ""), (1, 0, 3, ""), (1, 2, 0, "b"), (1, 3, 0, "a")]
     assert got == sorted([*first, (4, 0, 0, "a"), (4, 0, 2, ""), (4, 0, 3, ""), (None, 0, 0, "?")], key=repr)
     # identical objects are stored once, every occurrence is kept
     same = shred.bridge(nodes).where("field = 'ss' and ordinal is not null").groupBy("hash").count().collect()
     assert sorted(r["count"] for r in same) == [1, 1, 2, 2, 3]
     assert shred.objects(nodes).count() == nodes.select("hash").distinct().count()
-    assert shred.records(shred.shredded(df.limit(0), "raw", "body", ("js", "ss")), "js", "ss").count() == 0
+    assert shred.stored(shred.shredded(df.limit(0), "raw", "body", ("js", "ss"))).records("js", "ss").count() == 0
 
 
 def test_numbers_are_no_texts():
