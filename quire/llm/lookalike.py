@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import parallelism
+from quire.session import cut, spread
 
 # Letters of one shape, as "the Latin letter: others that look like it".
 LOOK_ALIKE = {
@@ -151,17 +151,36 @@ def with_form(df: DataFrame, text: str, form: str = "form") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(class_id, spelling, key)``: every row whose text has at least one other spelling that reads the same. ``class_id`` tells the forms apart,
+    ``spelling`` the stored texts of one form (both are digests of 128 bits). Null keys and texts are in no class; copies of rows count once.
+
+    Each text is folded once, and only digests go on, so long texts cost no more to shuffle than short ones. No class is gathered: it is found
+    mixed by an aggregate with map-side combination, and its rows stay rows.
+    """
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("t")).where("key is not null and t is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import blake2b
+
+        digest = lambda t: blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        for batch in batches:
+            texts = batch.column("t").to_pylist()
+            forms = pa.array([digest(same_form(t)) for t in texts], pa.binary())
+            yield pa.record_batch([forms, pa.array(map(digest, texts), pa.binary()), batch.column("key")], names=["class_id", "spelling", "key"])
+
+    folded = cut(spread(rows, "key").mapInArrow(run, "class_id binary, spelling binary, key string"))
+    # only forms with more than one stored text go on
+    mixed = folded.groupBy("class_id").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b").select("class_id")
+    return folded.join(mixed, "class_id", "left_semi").distinct()
+
+
 def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(left_key, right_key)``, ``left_key < right_key`` as strings: rows whose texts differ as stored but not to a reader.
+    """``(left_key, right_key)``, ``left_key < right_key`` as strings: rows whose texts differ as stored but not to a reader, from :func:`alike_classes`.
 
-    Null keys and texts are in no pair; copies of rows count once. The number of pairs is that of the result asked for; the
-    join is between distinct (form, text) on one side, so equal texts are never paired, and runs on (form) with
-    texts of one form spread by their own hash when a form is crowded.
+    The number of pairs is that of the result asked for; a crowded form is one join key, whose partition adaptive execution can split.
+    For results that grow no faster than the table, take the classes.
     """
-    rows = with_form(df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null").repartition(parallelism(df.sparkSession), "k", "t").distinct(), "t", "f")
-    rows = rows.withColumn("h", F.xxhash64("f"))
-    # only forms with more than one stored text go on; this aggregate has map-side combination
-    mixed = rows.groupBy("h", "f").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("h", "f")
-    rows = rows.join(mixed, ["h", "f"], "left_semi")
-    left, right = rows.select("h", "f", F.col("k").alias("left_key"), F.col("t").alias("t1")), rows.select("h", "f", F.col("k").alias("right_key"), F.col("t").alias("t2"))
-    return left.join(right, ["h", "f"]).where("left_key < right_key and t1 <> t2").select("left_key", "right_key").distinct()
+    rows = cut(alike_classes(df, key, text))
+    left, right = rows.selectExpr("class_id", "key as left_key", "spelling as s1"), rows.selectExpr("class_id", "key as right_key", "spelling as s2")
+    return left.join(right, "class_id").where("left_key < right_key and s1 <> s2").select("left_key", "right_key").distinct()

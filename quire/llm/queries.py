@@ -48,11 +48,21 @@ c AS (SELECT upper(trim(strongs_id)) AS strongs_id, count(*) AS occurrences, cou
 _P4 = _COUNTS + "SELECT 'rare' AS mark, strongs_id FROM c WHERE records < 3 UNION ALL SELECT 'common', strongs_id FROM c, n WHERE records >= 0.08 * total"
 
 
+TEXTS = (("verses", "id", "text"), ("strongs_entries", "strongs_id", "lemma"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [
-        lookalike.alike_pairs(table(spark, d, name, key, text), key, text).select(F.lit(name).alias("src_table"), "left_key", "right_key")
-        for name, key, text in (("verses", "id", "text"), ("strongs_entries", "strongs_id", "lemma"))
-    ]
+    parts = [lookalike.alike_pairs(table(spark, d, name, key, text), key, text).select(F.lit(name).alias("src_table"), "left_key", "right_key") for name, key, text in TEXTS]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """A row a text that has other spellings: its class (named by its smallest key), and how many spellings and rows the class has."""
+    parts = []
+    for name, key, text in TEXTS:
+        rows = lookalike.alike_classes(table(spark, d, name, key, text), key, text)
+        whole = rows.groupBy("class_id", "spelling").agg(F.min("key").alias("least"), F.count("*").alias("n")).groupBy("class_id").agg(F.min("least").alias("class_key"), F.count("*").alias("spellings"), F.sum("n").alias("members"))
+        parts.append(rows.join(whole, "class_id").select(F.lit(name).alias("src_table"), "class_key", "key", "spellings", "members"))
     return parts[0].unionByName(parts[1])
 
 
@@ -82,5 +92,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_classes": p5_classes, "p6_found": p6_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found}
 SQL = {"p1_found": _P1, "p4_found": _P4, "p4_counts": _COUNTS + "SELECT * FROM c", "p6_found": _P6}

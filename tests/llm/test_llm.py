@@ -157,6 +157,10 @@ def test_alike_pairs(spark):
     df = spark.createDataFrame([(*r, "f") for r in rows], "k string, t string, f string")
     got = sorted(tuple(r) for r in lookalike.alike_pairs(df, "k", "t").collect())
     assert got == [("1", "10"), ("1", "2"), ("10", "2"), ("10", "3"), ("2", "3"), ("6", "7"), ("8", "9")]
+    classes = {}
+    for r in lookalike.alike_classes(df, "k", "t").collect():
+        classes.setdefault(bytes(r.class_id), set()).add(r.key)
+    assert sorted(map(sorted, classes.values())) == [["1", "10", "2", "3"], ["6", "7"], ["8", "9"]]
     assert lookalike.alike_pairs(df.limit(0), "k", "t").count() == 0
 
 
