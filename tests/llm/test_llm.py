@@ -113,13 +113,15 @@ def test_term_counts(spark):
     assert termfreq.marked(termfreq.term_counts(df.limit(0), term, ["text", "verse"])).count() == 0
 
 
-def test_radix_plan_covers_all(spark):
-    df = spark.range(3000).select(F.xxhash64("id").alias("h")).union(spark.range(500).select(F.lit(7).cast("long").alias("h")))
-    leaves = termfreq.radix_plan(df, "h", cap=100, depth=4)
-    out = df.withColumn("leaf", termfreq.leaf_of(F.col("h"), leaves, termfreq.BITS))
-    assert out.where("leaf is null").count() == 0
-    sizes = sorted(r["count"] for r in out.groupBy("leaf").count().collect())
-    assert sizes[-1] >= 500 and sizes[-2] <= 100  # equal hashes cannot be split
+def test_radix_covers_all(spark):
+    df = spark.range(3000).select(F.xxhash64("id").alias("h")).union(spark.range(500).select(F.lit(7).cast("long").alias("h"))).union(spark.range(400).select((F.lit(2**40) + F.col("id")).alias("h")))
+    for cap, cap_bytes in ((100, 10**9), (10**9, 1000)):
+        parts = termfreq.radix(df, "h", F.lit(10), cap=cap, cap_bytes=cap_bytes)
+        sizes = {r["leaf"]: (r["n"], r["one"]) for r in df.groupBy(parts.leaf(F.col("h")).alias("leaf")).agg(F.count("*").alias("n"), (F.min("h") == F.max("h")).alias("one")).collect()}
+        assert sum(n for n, _ in sizes.values()) == 3900 and all(0 <= leaf < parts.count for leaf in sizes)
+        assert all(n <= 100 or one for n, one in sizes.values())  # equal hashes cannot be split
+        assert parts.split
+    assert termfreq.radix(df.limit(0), "h", F.lit(10)).split == ()
 
 
 # -- p5 ---------------------------------------------------------------------------
