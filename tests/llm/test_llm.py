@@ -45,8 +45,9 @@ def test_graph_finds_what_a_scan_finds():
     assert PrunedGraph(x[:1]).search(x[:2])[0][:, 0].tolist() == [0, 0]
 
 
-@pytest.mark.parametrize("shard", [8192, 150])
-def test_neighbours_reach_recall(spark, shard):
+@pytest.mark.parametrize(("shard", "askers"), [(8192, 10**6), (150, 400), (20, 10**6)])
+def test_neighbours_reach_recall(spark, shard, askers):
+    # shards of 20: 60 shards, hundreds of lists, 8 of them asked; 400 askers a shard: most shards are kept several times
     rng = np.random.default_rng(2)
     x = clustered(rng, 1200)
     ids = rng.permutation(5000)[: len(x)]
@@ -54,13 +55,24 @@ def test_neighbours_reach_recall(spark, shard):
     rows = [(int(i), v.tolist(), "noise") for i, v in zip(ids, x)]
     bad = [(9001, None, ""), (9002, [1.0] * 15, ""), (9003, [0.0] * 16, ""), (9004, [float("nan")] * 16, ""), (9005, [None] * 16, ""), (None, [1.0] * 16, ""), (9006, [], "")]
     df = spark.createDataFrame(rows + rows[:40] + bad, "vec_id long, vector array<float>, cells string")
-    got = [tuple(r) for r in neighbours.pairs(neighbours.nearest(df, dim=16, shard=shard, probes=4)).collect()]
+    got = [tuple(r) for r in neighbours.pairs(neighbours.nearest(df, dim=16, shard=shard, askers=askers)).collect()]
     want = brute(ids, x, 5, 0.85)
     assert len(got) == len(set(got)) and set(got) <= {p for p in want} | set(got)
     assert len(set(got) & want) >= 0.97 * len(want)
     assert len(set(got) - want) <= 0.03 * len(want)
 
 
+def test_lists_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "DIRECT", 100)
+    rng = np.random.default_rng(3)
+    x = clustered(rng, 3000).astype(np.float32).astype(np.float64)
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, vector array<float>")
+    got = {tuple(r) for r in neighbours.pairs(neighbours.nearest(df, dim=16, shard=60, sample=800)).collect()}
+    want = brute(ids, x, 5, 0.85)
+    assert len(got & want) >= 0.95 * len(want)
+
+
 def test_equal_vectors_and_ties(spark):
     same = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(40, 0, -1)]
     near = [(100, [1.0, 2.0, 3.0, 4.1]), (101, [-1.0, 0.0, 0.0, 0.0]), (102, [1.0, 2.0, 3.0, 4.0]), (103, [0.0, 0.0, -1.0, 0.0]), (104, [-0.0, 0.0, -1.0, 0.0])]
