@@ -2,21 +2,24 @@
 
 Every character is tagged *boundary* (a sentence ends with it) or *inside*. Only some characters can be boundaries (the last of a run
 of final marks with its closing quotes, brackets and footnote marks; in scripts without final marks the last
-before a space); all others are clamped to inside, so a chain runs over the candidates. Its weights are trained here, with an
-averaged structured perceptron, on a bounded sample of the corpus itself. The sample is labelled by cautious rules over fixed
+before a space); all others are clamped to inside, so a chain runs over the candidates. Its weights are stored beside this module
+(``sentence_weights.json``), so that a document is split alike whatever the rest of the corpus is, and no query trains anything. They come from :func:`fit`, an
+averaged structured perceptron over a sample bounded in rows and bytes, labelled by cautious rules over fixed
 lists (there are no labelled sentences to learn from), so the tagger generalises those rules; for scripts without
 punctuation it is trained on text stripped of any as well, labelled by the marks that were there and else by rule, so that it
-rests on spacing and neighbours alone.
+rests on spacing and neighbours alone. ``python -m quire.llm.sentences TABLE...`` trains them anew on the ``text`` of tables.
 A blank line always ends a sentence, and a line break alone never does: these are no matter of weights.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +28,11 @@ from pyspark.sql import functions as F
 from quire.llm.lookalike import same_form
 from quire.session import spread
 
-#: Most documents in the training sample (those with the smallest hashes), and passes over them.
-SAMPLE, PASSES = 6000, 8
+#: Most documents and bytes in the training sample (the documents with the smallest hashes), and passes over them.
+SAMPLE, SAMPLE_BYTES, PASSES = 20_000, 64_000_000, 8
+#: Candidates whose scores are remembered: most look like one before.
+REMEMBERED = 1 << 17
+STORED = Path(__file__).with_name("sentence_weights.json")
 
 # Final marks, closing and opening marks, footnote marks, blanks (Unicode White_Space).
 FINAL = ".!?…‥。．！？｡؟۔।॥።፧፨׃;;។៕။།༎"
@@ -87,6 +93,10 @@ class Candidate:
         self.closer, self.opened, self.space, self.next, self.unmarked = closer, opened, space, next, unmarked
         self.bare = False  # right after another, with nothing but marks and blanks between
 
+    def look(self) -> tuple:
+        """All that :meth:`features` depend on."""
+        return self.mark, self.token, self.shape, self.before, self.closer, self.opened, self.space, self.next, self.unmarked
+
     def features(self) -> tuple[str, ...]:
         if self.unmarked:
             return (f"u{self.shape}{self.next}", f"ul{self.shape}", f"ur{self.next}", "u")
@@ -208,15 +218,19 @@ def rule(c: Candidate) -> bool:
     return True
 
 
-def viterbi(rows: list[Candidate], weights: dict[str, float]) -> list[bool]:
-    """The best tags of a chain; two boundaries next to each other are possible only with something between."""
+def viterbi(rows: list[Candidate], weights: dict[str, float], known: dict[tuple, float] | None = None) -> list[bool]:
+    """The best tags of a chain; two boundaries next to each other are possible only with something between. ``known``: scores by what a candidate
+    looks like, for weights that stay as they are."""
     inside, ends = 0.0, float("-inf")
     back: list[tuple[bool, bool]] = []
     get = weights.get
     for c in rows:
-        score = 0.0
-        for f in c.features():
-            score += get(f, 0.0)
+        look = c.look()
+        score = None if known is None else known.get(look)
+        if score is None:
+            score = sum(get(f, 0.0) for f in c.features())
+            if known is not None and len(known) < REMEMBERED:
+                known[look] = score
         from_inside, from_end = inside + get(">ib", 0.0), ends + (float("-inf") if c.bare else get(">bb", 0.0))
         stay_inside, stay_end = inside + get(">ii", 0.0), ends + get(">bi", 0.0)
         back.append((stay_end > stay_inside, from_end > from_inside))
@@ -295,12 +309,12 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
     yield at, len(text)
 
 
-def sentences(text: str | None, weights: dict[str, float]) -> list[tuple[int, int]]:
+def sentences(text: str | None, weights: dict[str, float], known: dict[tuple, float] | None = None) -> list[tuple[int, int]]:
     """``(start, end)`` of each sentence in code points, end exclusive, blanks at both ends left out."""
     out, text = [], text or ""
     for lo, hi in paragraphs(text):
         rows = candidates(text, lo, hi)
-        stops = [c.end for c, tag in zip(rows, viterbi(rows, weights)) if tag] + [hi]
+        stops = [c.end for c, tag in zip(rows, viterbi(rows, weights, known)) if tag] + [hi]
         at = lo
         for stop in stops:
             part = text[at:stop]
@@ -312,20 +326,37 @@ def sentences(text: str | None, weights: dict[str, float]) -> list[tuple[int, in
     return out
 
 
-def split(df: DataFrame, key: str, text: str, *, sample: int = SAMPLE, passes: int = PASSES) -> DataFrame:
+def fit(df: DataFrame, text: str, *, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, passes: int = PASSES) -> dict[str, float]:
+    """Weights learnt from at most ``sample`` texts and ``sample_bytes`` bytes of ``df``: those with the smallest hashes, whatever the size of the table. They come to the driver
+    a partition at a time."""
+    chosen = df.select(F.col(text).alias("t")).where(F.octet_length("t").between(1, sample_bytes)).orderBy(F.xxhash64("t")).limit(sample)
+    texts, size = [], 0
+    for row in chosen.toLocalIterator():
+        size += len(row["t"].encode())
+        if size > sample_bytes:
+            break
+        texts.append(row["t"])
+    return train(sorted(texts), passes)
+
+
+@lru_cache(maxsize=1)
+def stored_weights() -> dict[str, float]:
+    return json.loads(STORED.read_text("utf-8"))
+
+
+def split(df: DataFrame, key: str, text: str, *, weights: dict[str, float] | None = None) -> DataFrame:
     """``(doc_id, start_pos int, end_pos int)`` of every sentence of every whole text, ``doc_id`` being ``key``.
 
-    The tagger is fitted on at most ``sample`` texts (those with the smallest hashes of key and text), whatever the size of the
-    table; its weights (a few thousand numbers) go to the tasks with the function. Null, empty and blank texts have no sentences.
+    ``weights`` (of :func:`fit`; else the stored ones, a few thousand numbers) go to the tasks with the function. Null, empty and blank texts have no sentences.
     """
-    taken = df.select(F.col(text).alias("t")).where(F.length("t") > 0).orderBy(F.xxhash64(key, text)).limit(sample).toPandas()["t"]
-    weights = train(sorted(taken), passes)
+    weights = stored_weights() if weights is None else weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, float] = {}
         for batch in batches:
             keys, starts, ends = [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for a, b in sentences(t, weights):
+                for a, b in sentences(t, weights, known):
                     keys.append(k)
                     starts.append(a)
                     ends.append(b)
@@ -333,3 +364,17 @@ def split(df: DataFrame, key: str, text: str, *, sample: int = SAMPLE, passes: i
 
     rows = spread(df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("t")), "doc_id")
     return rows.mapInArrow(run, f"doc_id {dict(df.dtypes)[key]}, start_pos int, end_pos int")
+
+
+def main(tables: list[str]) -> None:
+    from quire.session import local_session, ship
+
+    spark = ship(local_session())
+    learnt = fit(spark.read.parquet(*tables).select("text"), "text")
+    STORED.write_text(json.dumps(dict(sorted(learnt.items())), ensure_ascii=False, indent=0) + "\n", "utf-8")
+
+
+if __name__ == "__main__":
+    import sys
+
+    main(sys.argv[1:])
