@@ -13,12 +13,12 @@ from __future__ import annotations
 import base64
 import json
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.session import spread
@@ -266,10 +266,10 @@ def token_ids(df: DataFrame, key: str, text: str, *, folder: str = VOCABULARIES,
 
     Null and empty texts have no ids (an empty array). Every row gives a row; whole texts; other columns are dropped.
     """
-    path = os.path.join(folder, name)
+    where = _shipped(df.sparkSession, os.path.join(folder, name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab = vocabulary(where())
         for batch in batches:
             ids, ends, first = [], [], 0
             size = 0
@@ -292,6 +292,28 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
 
 
+def _shipped(spark: SparkSession, path: str) -> Callable[[], str]:
+    """Where a task finds the vocabulary: sent along with the job, so that executors need no folder of the driver's."""
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
+    def where() -> str:
+        from pyspark import SparkFiles
+
+        return SparkFiles.get(name)
+
+    return where
+
+
 def token_counts(df: DataFrame, key: str, text: str, *, folder: str = VOCABULARIES, name: str = VOCABULARY) -> DataFrame:
-    """``(key, tokens int)``: how many ids each text has; 0 for null and empty texts."""
-    return token_ids(df, key, text, folder=folder, name=name).select(key, F.size("ids").alias("tokens"))
+    """``(key, tokens int)``: how many ids each text has; 0 for null and empty texts. The ids themselves stay in the task."""
+    where = _shipped(df.sparkSession, os.path.join(folder, name))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(where())
+        for batch in batches:
+            n = [len(ids) for ids, _ in encode_batch(batch.column(1).to_pylist(), vocab)]
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int32())], names=[key, "tokens"])
+
+    rows = spread(df.select(F.col(key), F.col(text).cast("string")), key)
+    return rows.mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, tokens int")
