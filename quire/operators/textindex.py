@@ -13,7 +13,7 @@ from functools import reduce
 from operator import and_, or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.plans.textquery import And, Near, Not, Or, Phrase, latin_folds, parse, phrases_of, tokenize
@@ -133,6 +133,27 @@ def scored(rows: DataFrame, text: str, query: str, *, hits: DataFrame | None = N
         base = base.select(*rows.columns, F.size("_t").alias("_length"), *(_positions(F.col("_t"), t, p).alias(f"_h{i}") for i, (t, p) in enumerate(wanted)))
     else:
         base = hits
+    base, number = _phrase_counts(base, tree, wanted)
+    stats = base.agg(F.count("*").alias("n"), F.avg("_length").alias("avg_length"), *(F.count_if(F.col(f"_a{i}") > 0).alias(f"df{i}") for i in range(number)))
+    return Scored(_rated(base, tree, number, stats).select(*rows.columns, "score"), stats)
+
+
+def _rated(base: DataFrame, tree, number: int, stats: DataFrame) -> DataFrame:
+    """The rows of ``base`` (with frequencies ``_f0``, ... and ``_length``) that match, with ``score``; ``stats`` is read as one scalar subquery."""
+    matched, active = _walk(tree, {i: f"_f{i}" for i in range(number)}, [0])
+    whole = stats.select(F.struct(*(F.col(c).cast("double").alias(c) for c in stats.columns)).alias("s")).scalar()
+
+    def part(i: int, counts: Column) -> Column:
+        n, df, avg = whole["n"], whole[f"df{i}"], whole["avg_length"]
+        idf = F.greatest(F.ln((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+        f = F.col(f"_f{i}").cast("double")
+        return F.when(counts & (f > 0), idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("_length") / avg))).otherwise(0.0)
+
+    return base.where(matched).withColumn("score", reduce(lambda a, b: a + b, (part(i, c) for i, c in active), F.lit(0.0)))
+
+
+def _phrase_counts(base: DataFrame, tree, wanted: list[tuple[str, bool]]) -> tuple[DataFrame, int]:
+    """``base`` with hits ``_h0``, ... as frequencies: ``_f`` of each phrase that counts, ``_a`` of each phrase alone; and how many there are."""
     hit = {key: F.col(f"_h{i}") for i, key in enumerate(wanted)}
     number, frequencies, alone = 0, [], []
     for group in _groups(tree):
@@ -141,20 +162,50 @@ def scored(rows: DataFrame, text: str, query: str, *, hits: DataFrame | None = N
             frequencies.append(F.size(near).alias(f"_f{number}"))
             alone.append(F.size(whole).alias(f"_a{number}"))
             number += 1
-    keep = [c for c in base.columns if not c.startswith("_h")]
-    base = base.select(*keep, *frequencies, *alone)
-    stats = base.agg(F.count("*").alias("n"), F.avg("_length").alias("avg_length"), *(F.count_if(F.col(f"_a{i}") > 0).alias(f"df{i}") for i in range(number)))
-    matched, active = _walk(tree, {i: f"_f{i}" for i in range(number)}, [0])
-    found = base.where(matched)
+    return base.select(*[c for c in base.columns if not c.startswith("_h")], *frequencies, *alone), number
 
-    def part(i: int, counts: Column) -> Column:
-        n, df, avg = (stats.select(F.col(c).cast("double")).scalar() for c in ("n", f"df{i}", "avg_length"))
-        idf = F.greatest(F.ln((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-        f = F.col(f"_f{i}").cast("double")
-        return F.when(counts & (f > 0), idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("_length") / avg))).otherwise(0.0)
 
-    score = reduce(lambda a, b: a + b, (part(i, c) for i, c in active), F.lit(0.0))
-    return Scored(found.withColumn("score", score).select(*[c for c in rows.columns], "score"), stats)
+# -- stored indexes -------------------------------------------------------------------
+@dataclass(frozen=True)
+class Index:
+    """``postings(term, row, positions, length, ...)``, a row a term and text, clustered by term, with the columns results are filtered and
+    ordered by; ``stats``: one row ``(n, avg_length)``."""
+
+    postings: DataFrame
+    stats: DataFrame
+    columns: tuple[str, ...]
+
+    def scored(self, query: str) -> Scored:
+        """K6 and K7 from the postings of the query's terms: no text is read, and only the row groups of those terms."""
+        tree = parse(query)
+        wanted = _terms(tree)
+        is_term = lambda t, p: F.col("term").startswith(t) if p else F.col("term") == t
+        own = self.postings.where(reduce(or_, (is_term(t, p) for t, p in wanted), F.lit(False)))
+        hits = [F.array_sort(F.flatten(F.collect_list(F.when(is_term(t, p), F.col("positions"))))).alias(f"_h{i}") for i, (t, p) in enumerate(wanted)]
+        base = own.groupBy("row", *self.columns, F.col("length").alias("_length")).agg(*(hits or [F.count("*").alias("_h")]))
+        base, number = _phrase_counts(base, tree, wanted)
+        found = base.agg(*(F.count_if(F.col(f"_a{i}") > 0).alias(f"df{i}") for i in range(number)), F.lit(1).alias("_one"))
+        stats = found.join(self.stats.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        return Scored(_rated(base, tree, number, stats).select(*self.columns, "score"), stats)
+
+
+def build_index(rows: DataFrame, text: str, folder: str) -> None:
+    """Writes the postings and statistics of ``rows`` (each counts once) to ``folder``. Rows are spread by term and text, so that a term that is everywhere is
+    split over files."""
+    from quire.sources.sinks import write_table
+
+    columns = [c for c in rows.columns if c != text]
+    own = rows.distinct()
+    split = own.select(F.xxhash64(*rows.columns).alias("row"), *columns, tokens(F.col(text)).alias("t"))
+    words = split.select("row", *columns, F.size("t").alias("length"), F.posexplode("t").alias("position", "term"))
+    postings = words.groupBy("term", "row", *columns, "length").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    write_table(postings, folder, "postings", cluster=["term", "row"])
+    write_table(corpus_stats(own, text), folder, "stats")
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    postings = spark.read.parquet(f"{folder}/postings.parquet")
+    return Index(postings, spark.read.parquet(f"{folder}/stats.parquet"), tuple(c for c in postings.columns if c not in ("term", "row", "positions", "length")))
 
 
 def hits_from_postings(rows: DataFrame, row_id: str, index: DataFrame, query: str) -> DataFrame:

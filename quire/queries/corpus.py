@@ -16,6 +16,7 @@ from quire.functions import scalars
 from quire.operators import constraints, overlays, passages, textindex, vectors
 from quire.plans.reference import AliasResolver, parse_reference
 from quire.plans.textquery import latin_folds
+from quire.session import derived
 from quire.sources.tables import delivered_once, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -527,13 +528,24 @@ _VERSE_COLUMNS = "id, translation_id, book_id, chapter, verse"
 _SINGLE = "SELECT id, chapter, verse, round(score, 6) AS score FROM hit JOIN bk ON bid = book_id WHERE translation_id = 'EN00' ORDER BY round(score, 9) DESC, canonical_order, chapter, verse, id LIMIT 50"
 
 
-def _verses_index(spark, d):
+def _rows(spark, d):
     return table(spark, d, "verses", "id", "translation_id", "book_id", "chapter", "verse", "text").distinct()
 
 
+def _index(spark, d, name: str, *columns: str) -> textindex.Index:
+    """The stored index of a table, built at the first search of a session."""
+    source = f"{d}/{name}.parquet"
+    folder = derived(spark, source, "postings", lambda into: textindex.build_index(table(spark, d, name, *columns, "text"), "text", into))
+    return textindex.open_index(spark, folder)
+
+
+def _verses_index(spark, d) -> textindex.Index:
+    return _index(spark, d, "verses", "id", "translation_id", "book_id", "chapter", "verse")
+
+
 def _search(spark, d, text: str):
     names = overlays.book_names(table(spark, d, "books"))
-    return textindex.scored(_verses_index(spark, d), "text", text).rows.where("translation_id = 'EN00'").join(names, "book_id")
+    return _verses_index(spark, d).scored(text).rows.where("translation_id = 'EN00'").join(names, "book_id")
 
 
 def _k2(name: str, text: str, phrases: list[str], matched: str, active: list[str], alone: list[str] | None = None):
@@ -559,14 +571,14 @@ SELECT book_id, chapter, verse, round(score, 6) AS score, n_matches FROM best JO
 @query(fts_sql("verses", _VERSE_COLUMNS, [_term("turm"), _term("tower")], "f0 > 0 OR f1 > 0", ["f0 > 0", "f1 > 0"], _MULTI))
 def k3_search_multi(spark, d):
     names = overlays.book_names(table(spark, d, "books"))
-    found = textindex.scored(_verses_index(spark, d), "text", "turm OR tower").rows.where(F.col("translation_id").isin("EN00", "DE00"))
+    found = _verses_index(spark, d).scored("turm OR tower").rows.where(F.col("translation_id").isin("EN00", "DE00"))
     best = textindex.best_by_key(found, COORDINATE).join(names, "book_id")
     return textindex.ranked(best, *map(F.asc, ("canonical_order", "chapter", "verse")), limit=50).select(*COORDINATE, F.round("score", 6).alias("score"), "n_matches")
 
 
 @query(fts_sql("verses", _VERSE_COLUMNS, [_term("turm"), _term("tower")], "f0 > 0 OR f1 > 0", ["f0 > 0", "f1 > 0"], "SELECT count(DISTINCT (book_id, chapter, verse)) AS total FROM hit WHERE translation_id IN ('EN00', 'DE00')"))
 def k3_total(spark, d):
-    found = textindex.scored(_verses_index(spark, d), "text", "turm OR tower").rows.where(F.col("translation_id").isin("EN00", "DE00"))
+    found = _verses_index(spark, d).scored("turm OR tower").rows.where(F.col("translation_id").isin("EN00", "DE00"))
     return found.select(*COORDINATE).distinct().agg(F.count("*").alias("total"))
 
 
@@ -578,21 +590,29 @@ def k3_total(spark, d):
 )
 def k4_search_notes(spark, d):
     """Hits of notes with the names of their books, by score and canonical order."""
-    rows = table(spark, d, "documents", "doc_id", "doc_type", "lang", "book_id", "text").distinct()
-    found = textindex.scored(rows, "text", "shekels").rows.where("doc_type = 'note'").join(overlays.book_names(table(spark, d, "books")), "book_id")
+    index = _index(spark, d, "documents", "doc_id", "doc_type", "lang", "book_id")
+    found = index.scored("shekels").rows.where("doc_type = 'note'").join(overlays.book_names(table(spark, d, "books")), "book_id")
     return textindex.ranked(found, F.asc("canonical_order"), F.asc("doc_id"), limit=50).select("doc_id", "book_name", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH t AS (SELECT id, unnest({_tokens_sql()}) AS term FROM (SELECT DISTINCT id, text FROM verses)) SELECT term, count(*) AS occurrences, count(DISTINCT id) AS n_rows FROM t GROUP BY 1")
 def k1_postings_stats(spark, d):
-    index = textindex.postings(_verses_index(spark, d), "id", "text")
+    """The postings are made anew, as they are when an index is built."""
+    index = textindex.postings(_rows(spark, d), "id", "text")
     return index.groupBy("term").agg(F.sum(F.size("positions")).alias("occurrences"), F.count("*").alias("n_rows"))
 
 
 @query()
 def k8_snippet(spark, d):
     found = textindex.ranked(_search(spark, d, "shepherd AND (feast OR wall)"), *map(F.asc, ("canonical_order", "chapter", "verse", "id")), limit=50)
-    return textindex.with_snippet(found, "text", "shepherd AND (feast OR wall)").select("id", "snippet")
+    page = found.select("id").join(_rows(spark, d).select("id", "text"), "id")
+    return textindex.with_snippet(page, "text", "shepherd AND (feast OR wall)").select("id", "snippet")
+
+
+@query(fts_sql("verses", _VERSE_COLUMNS, [_term("lamp")], "f0 > 0", ["true"], "SELECT id, round(score, 6) AS score FROM hit"))
+def k7_scores_by_scan(spark, d):
+    """K7 without an index: one pass over all texts, for tables that are searched once."""
+    return textindex.scored(_rows(spark, d), "text", "lamp").rows.select("id", F.round("score", 6).alias("score"))
 
 
 # -- vectors ------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from pathlib import Path
@@ -70,13 +70,33 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
+#: Folders of :func:`derived`, by session, source and what it is.
+_DERIVED: dict[tuple, str] = {}
+
+
+def derived(spark: SparkSession, source: str, what: str, make: Callable[[str], None]) -> str:
+    """A folder beside the checkpoints with something derived from the table at ``source``: made at the first call of a session, and again when a file
+    of the source changes. It goes with :func:`release`."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    seen = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, source, what, seen)
+    if key not in _DERIVED:
+        folder = f"{workspace(spark)}/derived-{uuid.uuid4().hex}"
+        make(folder)
+        _DERIVED[key] = folder
+        _KEPT.append(folder)
+    return _DERIVED[key]
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes the tables that :func:`staged` made; frames that read them are no longer usable."""
+    """Deletes what :func:`staged` and :func:`derived` made; frames that read them are no longer usable."""
+    _DERIVED.clear()
     while _KEPT:
         delete(spark, _KEPT.pop())
 

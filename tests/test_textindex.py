@@ -90,6 +90,16 @@ def test_postings_give_the_same_hits(corpus):
         assert {r["id"]: round(r["score"], 9) for r in T.scored(df, "text", query, hits=hits).rows.collect()} == scan
 
 
+def test_a_stored_index_gives_the_same_scores(spark, corpus, tmp_path):
+    texts, df = corpus
+    T.build_index(df, "text", str(tmp_path))
+    index = T.open_index(spark, str(tmp_path))
+    for query in ("ab c", '"ab c" OR da*', "NEAR(b c, 2) NOT e", "^ab OR zz", '"..."'):
+        scan = {r["id"]: round(r["score"], 9) for r in T.scored(df, "text", query).rows.collect()}
+        assert {r["id"]: round(r["score"], 9) for r in index.scored(query).rows.collect()} == scan
+    assert "EqualTo(term,ab)" in index.scored("ab").rows._jdf.queryExecution().toString()
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (4, "a b")], "id int, text string")
     got = T.ranked(T.scored(df, "text", "a").rows, F.asc("id"), limit=10).collect()
