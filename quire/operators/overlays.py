@@ -104,8 +104,9 @@ def summary(df: DataFrame, entity: str) -> DataFrame:
 
 def lookup(df: DataFrame, value: object, *columns: str) -> DataFrame:
     """The row whose first of ``columns`` with that value has it (an id before a slug); NoMatch if none does. Repeats count once."""
-    found = df.where(reduce(or_, (F.col(c).eqNullSafe(F.lit(value)) for c in columns)))
-    turn = F.coalesce(*(F.when(F.col(c) == F.lit(value), i) for i, c in enumerate(columns)))
+    has = lambda c: F.col(c).eqNullSafe(F.lit(value).try_cast(df.schema[c].dataType))
+    found = df.where(reduce(or_, map(has, columns)))
+    turn = F.coalesce(*(F.when(has(c), i) for i, c in enumerate(columns)))
     one = found.orderBy(turn, *columns).limit(1)
     if one.isEmpty():
         raise NoMatch(f"no row with {' or '.join(columns)} {value!r}")

@@ -200,17 +200,25 @@ def bridge(nodes: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Shredded:
-    """The two tables of shredded payloads: ``objects(hash, body)``, each object once, and ``bridge``, a row an occurrence."""
+    """Shredded payloads as two tables: ``objects(hash, body)``, each object once, and ``bridge``, a row an occurrence. ``nodes``: the staged rows both read."""
 
-    objects: DataFrame
-    bridge: DataFrame
+    nodes: DataFrame
+
+    @property
+    def objects(self) -> DataFrame:
+        return objects(self.nodes)
+
+    @property
+    def bridge(self) -> DataFrame:
+        return bridge(self.nodes)
 
     def records(self, parent: str, child: str) -> DataFrame:
         """``(key, parent_pos, child_pos, hash, body)``: the records of entity ``child`` within those of entity ``parent``,
-        their bodies fetched from the objects through the bridge. The bridge side is the one with hot hashes (a record
+        their bodies fetched from the objects (of that entity) through the bridge. The bridge side is the one with hot hashes (a record
         that occurs everywhere); the objects have one row a hash, so a skewed partition can be split."""
-        links = self.bridge.where((F.col("field") == child) & F.col("ordinal").isNotNull() & (F.col("parent_field") == parent))
-        return links.join(self.objects, "hash").select("key", F.col("parent_ordinal").alias("parent_pos"), F.col("ordinal").alias("child_pos"), "hash", "body")
+        own = (F.col("field") == child) & F.col("ordinal").isNotNull() & (F.col("parent_field") == parent)
+        links = self.bridge.where(own).selectExpr("key", "parent_ordinal as parent_pos", "ordinal as child_pos", "hash")
+        return links.join(objects(self.nodes.where(own)), "hash").select("key", "parent_pos", "child_pos", "hash", "body")
 
     def write(self, folder: str) -> None:
         """Both tables as ``folder/objects.parquet`` and ``folder/bridge.parquet``, objects clustered by hash."""
@@ -221,9 +229,8 @@ class Shredded:
 
 
 def stored(nodes: DataFrame) -> Shredded:
-    """The tables of :func:`shredded` rows, which are made once: they are staged, columns apart, and both tables read them."""
-    own = staged(nodes)
-    return Shredded(objects(own), bridge(own))
+    """The tables of :func:`shredded` rows, which are made once: they are staged, columns apart."""
+    return Shredded(staged(nodes))
 
 
 def value_of(body: str, name: str):

@@ -82,7 +82,7 @@ def test_depth_is_no_limit():
 PAYLOAD = {"data": {"js": [{"id": "x", "ss": [{"p": "a"}, None, {"p": None}, {"q": 1}]}, None, {"ss": {"p": "b"}}, {"ss": json.dumps([{"p": "a"}])}, {"ss": None}, {"ss": []}, 7]}}
 
 
-def test_shredding(spark):
+def test_shredding(spark, tmp_path):
     payloads = [(1, json.dumps(PAYLOAD)), (1, json.dumps(PAYLOAD)), (2, None), (3, "broken {"), (4, json.dumps({"js": json.dumps(PAYLOAD["data"]["js"][0])})), (None, '{"js": {"ss": {"p": "\\ud800"}}}'), (5, "")]
     df = spark.createDataFrame([(k, p, "extra") for k, p in payloads], "raw long, body string, hash string")
     nodes = shred.shredded(df, "raw", "body", ("js", "ss")).cache()
@@ -92,6 +92,9 @@ def test_shredding(spark):
     # identical objects are stored once, every occurrence is kept
     same = shred.bridge(nodes).where("field = 'ss' and ordinal is not null").groupBy("hash").count().collect()
     assert sorted(r["count"] for r in same) == [1, 1, 2, 2, 3]
+    kept = shred.stored(nodes)
+    kept.write(str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/bridge.parquet").count() == nodes.count() and spark.read.parquet(f"{tmp_path}/objects.parquet").count() == kept.objects.count()
     assert shred.objects(nodes).count() == nodes.select("hash").distinct().count()
     assert shred.stored(shred.shredded(df.limit(0), "raw", "body", ("js", "ss"))).records("js", "ss").count() == 0
 

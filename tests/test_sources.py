@@ -116,6 +116,63 @@ def test_topics_lexicon_tokens_journeys(spark, catalog, rows, tmp_path):
             corpora.journeys(spark, [write(tmp_path / "j2", "j.json", {"journeys": bad})], places)
 
 
+def test_names_of_files(spark, tmp_path):
+    entry = lambda i: {"source": "s", "entries": [{"strongs_id": i, "language": "grc", "lemma": "l", "transliteration": "", "gloss": "g", "definition": "d"}]}
+    for i, name in enumerate(("t.json", "thayer.json", "_x.json", ".y.json", "token.json", "tokens.json", "a-tokens-b.json")):
+        folder = write(tmp_path / "n", name, entry(f"G{i}"))
+    write(tmp_path / "n", "tokens-x.json", {"source": ["not a lexicon"], "entries": 1})
+    write(tmp_path / "n", "notes.txt", "x")
+    assert sorted(r.strongs_id for r in corpora.lexicon(spark, [folder]).collect()) == [f"G{i}" for i in range(7)]
+
+
+def test_lines_keep_their_order(spark, tmp_path):
+    text = "\ufeff" + "\n".join(f"{i}\tx" for i in range(20_000))
+    path = write(tmp_path, "long.tsv", text) + "/long.tsv"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = [r.cols[0] for r in corpora.tab_lines(spark, path, 2).orderBy("path", "line").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [str(i) for i in range(20_000)]
+
+
+def test_numbers_run_on(spark):
+    from quire.operators.numbering import numbered
+
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 as k")
+    assert [(r.k, r.n) for r in numbered(df, ["k"], "n").orderBy("k").collect()] == [(i, i + 1) for i in range(1000)]
+    assert numbered(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_stores_and_lookups(spark, tmp_path):
+    import numpy as np
+
+    embedder = vectors.HashingEmbedder(16)
+    words = ["feast of the shepherd", "river", "the feast", "wall and gate", None]
+    texts = spark.createDataFrame(list(enumerate(words)), "id int, text string")
+    assert vectors.write_store(texts, ["id"], "text", embedder, str(tmp_path / "s"), model="m") == 4
+    store = vectors.Store.of(spark, str(tmp_path / "s"), embedder, ["id"])
+    assert store is vectors.Store.of(spark, str(tmp_path / "s"), embedder, ["id"]) and [r.id for r in store.ordered().collect()] == [0, 1, 2, 3]
+    scores = embedder.embed(words[:4]) @ embedder.embed(["the feast"])[0]
+    assert [r.id for r in store.search("the feast", 3).collect()] == np.argsort(-scores, kind="stable")[:3].tolist()
+    with pytest.raises(InvalidParameter):
+        store.search("x", 3, min_score=2.0)
+    with pytest.raises(VectorGuardError, match="no texts"):
+        vectors.write_store(texts.where("text is null"), ["id"], "text", embedder, str(tmp_path / "e"), model="m")
+    with pytest.raises(VectorGuardError):
+        vectors.Store(spark, str(tmp_path / "s"), vectors.HashingEmbedder(8), ["id"])
+    assert vectors.write_store(texts, ["id"], "text", embedder, str(tmp_path / "l"), model="m", limit=2) == 2
+    from quire.errors import NoMatch
+
+    assert overlays.lookup(texts, "river", "id", "text").first()["id"] == 1
+    with pytest.raises(NoMatch):
+        overlays.lookup(texts, "none", "text")
+    assert overlays.allowed_value(texts, "text", " river ") == "river" and overlays.allowed_value(texts, "text", " ") is None
+    with pytest.raises(UnknownValue):
+        overlays.allowed_value(texts, "text", "sea")
+
+
 def test_places(spark, catalog, rows, tmp_path):
     special = lambda *s: [{"resolutions": [{"special": x} for x in s]}]
     far = {"m1": {"score": 600, "name": "One"}, "m9": {"score": 700, "name": "Unlocated"}}
