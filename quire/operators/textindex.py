@@ -184,8 +184,8 @@ class Index:
         hits = [F.array_sort(F.flatten(F.collect_list(F.when(is_term(t, p), F.col("positions"))))).alias(f"_h{i}") for i, (t, p) in enumerate(wanted)]
         base = own.groupBy("row", *self.columns, F.col("length").alias("_length")).agg(*(hits or [F.count("*").alias("_h")]))
         base, number = _phrase_counts(base, tree, wanted)
-        found = base.agg(*(F.count_if(F.col(f"_a{i}") > 0).alias(f"df{i}") for i in range(number)), F.lit(1).alias("_one"))
-        stats = found.join(self.stats.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        found = base.agg(F.count("*").alias("found"), *(F.count_if(F.col(f"_a{i}") > 0).alias(f"df{i}") for i in range(number)))
+        stats = found.withColumns({c: self.stats.select(c).scalar() for c in ("n", "avg_length")})
         return Scored(_rated(base, tree, number, stats).select(*self.columns, "score"), stats)
 
 
