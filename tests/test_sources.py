@@ -239,12 +239,15 @@ def test_repaired_headings(spark, rows):
 
 def test_documents_go_round(spark, catalog, rows, tmp_path):
     verses = spark.createDataFrame([("EN1", "AAA", 2, 1, "c"), ("EN1", "AAA", 1, 2, "b"), ("EN1", "AAA", 1, 1, "a"), ("EN1", "1BB", 1, 1, "d")], "translation_id string, book_id string, chapter int, verse int, text string")
-    from pyspark.sql import functions as F
-
-    document = etl.version_document(verses, catalog.books).select("code", F.lit("n").alias("name"), F.lit("en").alias("language"), "books")
-    sinks.write_json(document, str(tmp_path / "out"))
-    _, back, _ = corpora.versions(spark, [str(tmp_path / "out")], catalog)
+    headings = spark.createDataFrame([("EN1", "AAA", 1, 1, 2, "B"), ("EN1", "AAA", 1, 2, 1, "A")], "translation_id string, book_id string, chapter int, ordinal int, before_verse int, text string")
+    sinks.write_documents(etl.version_lines(verses, catalog.books, headings), str(tmp_path / "out"), "translation_id", ["canonical_order", "chapter"])
+    assert [p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")] == ["EN1.json"]
+    assert [b["abbreviation"] for b in json.loads((tmp_path / "out" / "EN1.json").read_text())["books"]] == ["AAA", "1BB"]
+    _, back, titles = corpora.versions(spark, [str(tmp_path / "out")], catalog)
     assert rows(back) == rows(verses)
+    assert rows(titles, "ordinal", "before_verse", "text") == [(1, 2, "B"), (2, 1, "A")]
+    sinks.write_json(verses, str(tmp_path / "lines"), files=1)
+    assert spark.read.json(str(tmp_path / "lines")).count() == 4
 
 
 def test_sinks(spark, rows, tmp_path):
